@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module, its SQL's name or None)
 _WHERE = {
+    "op1_mixing": ("mixing", "ORACLE"),
     "op2_ngram_jaccard": ("jaccard", None),
     "op5_decontamination": ("decontaminate", "ORACLE"),
     "op9_line_dedup": ("line_dedup", None),
