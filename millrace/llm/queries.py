@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op1_mixing": ("mixing", "ORACLE"),
     "op2_ngram_jaccard": ("jaccard", None),
+    "op3_warc": ("warc", "ORACLE"),
     "op5_decontamination": ("decontaminate", "ORACLE"),
     "op9_line_dedup": ("line_dedup", None),
 }
