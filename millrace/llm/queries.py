@@ -10,6 +10,7 @@ _WHERE = {
     "op2_ngram_jaccard": ("jaccard", None),
     "op3_warc": ("warc", "ORACLE"),
     "op5_decontamination": ("decontaminate", "ORACLE"),
+    "op7_chat_format": ("chat", "ORACLE"),
     "op9_line_dedup": ("line_dedup", None),
 }
 
