@@ -11,6 +11,7 @@ _WHERE = {
     "op3_warc": ("warc", "ORACLE"),
     "op5_decontamination": ("decontaminate", "ORACLE"),
     "op7_chat_format": ("chat", "ORACLE"),
+    "op8_toxicity": ("toxicity", None),
     "op9_line_dedup": ("line_dedup", None),
 }
 
