@@ -9,6 +9,7 @@ _WHERE = {
     "op1_mixing": ("mixing", "ORACLE"),
     "op2_ngram_jaccard": ("jaccard", None),
     "op3_warc": ("warc", "ORACLE"),
+    "op4_quality": ("quality", None),
     "op5_decontamination": ("decontaminate", "ORACLE"),
     "op7_chat_format": ("chat", "ORACLE"),
     "op8_toxicity": ("toxicity", None),
