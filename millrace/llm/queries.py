@@ -11,6 +11,7 @@ _WHERE = {
     "op3_warc": ("warc", "ORACLE"),
     "op4_quality": ("quality", None),
     "op5_decontamination": ("decontaminate", "ORACLE"),
+    "op6_brown_lm": ("brown", None),
     "op7_chat_format": ("chat", "ORACLE"),
     "op8_toxicity": ("toxicity", None),
     "op9_line_dedup": ("line_dedup", None),
