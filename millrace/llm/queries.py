@@ -15,6 +15,7 @@ _WHERE = {
     "op7_chat_format": ("chat", "ORACLE"),
     "op8_toxicity": ("toxicity", None),
     "op9_line_dedup": ("line_dedup", None),
+    "op10_cover_tree": ("embedding", None),
 }
 
 _MODULES = {name: importlib.import_module(f"millrace.llm.{module}") for name, (module, _) in _WHERE.items()}
