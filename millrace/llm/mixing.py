@@ -133,15 +133,18 @@ def readings(docs: DataFrame, schedules=SCHEDULES, repeats: int = REPEATS) -> Da
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The training order: docs' columns with epoch, words (how many of the text's words this reading takes; all but
-    in a source's last one) and position, one row for each reading, sorted by position over the whole result."""
+    """The training order: docs' columns with mix_epoch, mix_words (how many of the text's words this reading takes; all
+    but in a source's last one) and mix_position, one row for each reading, sorted by position over the whole
+    result. Columns of docs that have these names are replaced."""
+    new = ["mix_epoch", "mix_words", "mix_position"]
     plan = readings(docs, **options).select("row_key", F.explode("epochs").alias("reading"))
     plan = cut(plan.groupBy("row_key").agg(F.collect_list("reading").alias("readings"), F.countDistinct("reading.epoch").alias("k")), "mix-plan")
-    rows = docs.select(F.xxhash64("doc_id", "text", "source").alias("row_key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.xxhash64("doc_id", "text", "source").alias("row_key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns if c not in new]).alias("row"))
     if plan.where(F.size("readings") > F.col("k")).head(1):  # repeated rows: each reading once, not each with each row
         rows = rows.groupBy("row_key").agg(F.first("row").alias("row"))
     out = rows.join(plan, "row_key").select("row", F.explode("readings").alias("reading"))
-    return out.select("row.*", "reading.epoch", "reading.words", "reading.position").orderBy("position", "doc_id", "epoch")
+    reading = [F.col(f"reading.{c.removeprefix('mix_')}").alias(c) for c in new]
+    return out.select("row.*", *reading).orderBy("mix_position", "doc_id", "mix_epoch")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
