@@ -11,7 +11,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +174,7 @@ def ngram_links(
         members_of.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least"),
         "jaccard-buckets",
     )
-    bucketed = cut(members_of.join(buckets, "band"), "jaccard-bucketed")
+    bucketed = cut(members_of.join(buckets.hint("merge"), "band"), "jaccard-bucketed")
     near = connected_components(bucketed.select(F.col("node").alias("a"), F.col("least").alias("b")), "jaccard-near")
     # Inside a candidate group, a chunk holds members that share their smallest bucket neighbour.
     first = bucketed.groupBy("node").agg(F.min("least").alias("first"))
@@ -207,7 +206,7 @@ def ngram_links(
     )
     units = cut(with_units(placed.select("chunk").distinct(), pairs), "jaccard-units")
     texts = (
-        keyed.join(placed.withColumnRenamed("text_row", "row_key"), "row_key")
+        keyed.join(placed.withColumnRenamed("text_row", "row_key").hint("merge"), "row_key")
         .select("node", "chunk", "copies", "text")
         .mapInArrow(_sets(n), "node long, chunk long, copies long, grams array<long>")
     )
