@@ -163,10 +163,12 @@ def ngram_links(
         keyed.mapInArrow(_signer(n, bands, rows), "doc_id long, row_key long, node long, n_words long, bands array<long>"),
         "jaccard-signed",
     )
+    # min() over structs puts nulls first; a known doc_id goes before an unknown one.
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     classes = cut(
         signed.where("node is not null")
         .groupBy("node")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("row_key").alias("text_row"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")),
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("rep"), F.min("row_key").alias("text_row"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")),
         "jaccard-classes",
     )
     members_of = classes.select("node", F.explode("bands").alias("band"))
@@ -223,9 +225,7 @@ def ngram_links(
         .join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
-    # min() over structs puts nulls first; a class with a known doc_id prefers it.
-    order = F.struct(F.col("rep.doc_id").isNull().alias("none"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.row_key").alias("row_key"))
-    named = full.groupBy("root").agg(F.min(order).alias("first"))
+    named = full.groupBy("root").agg(F.min("rep").alias("first"))
     table = cut(
         full.join(named, "root").select(
             "node",
