@@ -33,7 +33,7 @@ CLASSES = 64
 PASSES = 8
 ALPHA = 0.1
 
-N_UNITS = 1 + ENDINGS + UNITS  # 0 is the end of a text, then endings, then frequent words
+# Units: 0 is the end of a text, then come endings, then frequent words.
 
 
 def _endings(words: Words) -> np.ndarray:
@@ -66,7 +66,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _count_bigrams(frequent: np.ndarray):
+def _count_bigrams(frequent: np.ndarray, n_units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = byte_classes("nonspace")
         total = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -74,7 +74,7 @@ def _count_bigrams(frequent: np.ndarray):
             words = find_words(column, classes)
             line = np.zeros(len(words.hash) + words.rows + 1, np.int64)  # an end before the first text and after each
             line[np.arange(len(words.hash)) + words.row + 1] = _units(words, frequent)
-            pair, n = np.unique(line[:-1] * N_UNITS + line[1:], return_counts=True)
+            pair, n = np.unique(line[:-1] * n_units + line[1:], return_counts=True)
             both, back = np.unique(np.concatenate([total[0], pair]), return_inverse=True)
             total = both, np.bincount(back, weights=np.concatenate([total[1], n]), minlength=len(both)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], names=["pair", "c"])
@@ -147,38 +147,43 @@ class Model:
     ends: int
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of docs (doc_id, text; only those outside the held-out fold), and the table (word hash, c) of all counts."""
+def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQUENT, classes: int = CLASSES) -> tuple[Model, DataFrame]:
+    """The model of docs (doc_id, text; only those outside the held-out fold), and the table (word hash, c) of all counts.
+
+    most_units bounds the table of bigrams and the clustering on the driver, most_frequent the table that is broadcast; neither
+    leaves a word out, as words beyond them have units by their endings, and counts by the join.
+    """
+    n_units = 1 + ENDINGS + most_units
     docs = docs.where(~held_out("doc_id", FOLDS)).select("text")
     counts = cut(
         docs.mapInArrow(_count_words, "word long, ending int, c long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("c").alias("c")), "lm-counts"
     )
     ends = docs.count()
     of_ending = counts.groupBy("ending").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).toArrow().to_pydict()
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", "ending", "c").toArrow()
+    top = counts.orderBy(F.desc("c"), "word").limit(most_frequent).select("word", "ending", "c").toArrow()
     hashes, endings, c = top["word"].to_numpy().astype(np.uint64), top["ending"].to_numpy(), top["c"].to_numpy()
-    own = np.argsort(hashes[:UNITS])
-    units = hashes[:UNITS][own]
-    pairs = docs.mapInArrow(_count_bigrams(units), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-    bigrams = np.zeros(N_UNITS * N_UNITS)
+    own = np.argsort(hashes[:most_units])
+    units = hashes[:most_units][own]
+    pairs = docs.mapInArrow(_count_bigrams(units, n_units), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    bigrams = np.zeros(n_units * n_units)
     bigrams[pairs["pair"].to_numpy()] = pairs["c"].to_numpy()
-    bigrams = bigrams.reshape(N_UNITS, N_UNITS)
-    of = exchange(bigrams, CLASSES)
+    bigrams = bigrams.reshape(n_units, n_units)
+    of = exchange(bigrams, classes)
     # Words and tokens of each unit: of each ending, those that aren't units themselves.
-    types, tokens = np.zeros(N_UNITS), np.zeros(N_UNITS)
+    types, tokens = np.zeros(n_units), np.zeros(n_units)
     types[1 + np.array(of_ending["ending"], np.int64)] = of_ending["v"]
     tokens[1 + np.array(of_ending["ending"], np.int64)] = of_ending["n"]
-    np.add.at(types, 1 + endings[:UNITS], -1)
-    np.add.at(tokens, 1 + endings[:UNITS], -c[:UNITS])
+    np.add.at(types, 1 + endings[:most_units], -1)
+    np.add.at(tokens, 1 + endings[:most_units], -c[:most_units])
     types[1 + ENDINGS : 1 + ENDINGS + len(units)] = 1
-    tokens[1 + ENDINGS : 1 + ENDINGS + len(units)] = c[:UNITS][own]
-    n_class = np.bincount(of, weights=tokens, minlength=CLASSES)
-    v_class = np.bincount(of, weights=types, minlength=CLASSES)
-    member = np.zeros((N_UNITS, CLASSES))
-    member[np.arange(N_UNITS), of] = 1
+    tokens[1 + ENDINGS : 1 + ENDINGS + len(units)] = c[:most_units][own]
+    n_class = np.bincount(of, weights=tokens, minlength=classes)
+    v_class = np.bincount(of, weights=types, minlength=classes)
+    member = np.zeros((n_units, classes))
+    member[np.arange(n_units), of] = 1
     q = member.T @ bigrams @ member
     seen, kinds = q.sum(1, keepdims=True), (q > 0).sum(1, keepdims=True)
-    plain = (q.sum(0) + 1) / (q.sum() + CLASSES)
+    plain = (q.sum(0) + 1) / (q.sum() + classes)
     transition = np.where(seen > 0, (q + kinds * plain) / np.maximum(seen + kinds, 1), plain)
     order = np.argsort(hashes)
     words = int(sum(of_ending["n"]))
@@ -221,8 +226,8 @@ def _scorer(shared):
                     pa.array(rng.integers(-(1 << 63), (1 << 63) - 1, rows)),
                     pa.array(words.counts() + 1),
                     pa.array(n_known),
-                    pa.array(near),
-                    pa.array(moves - spread),
+                    pa.array(near, pa.float64()),
+                    pa.array(moves - spread, pa.float64()),
                     pa.ListArray.from_arrays(offsets, pa.array(h[start].astype(np.int64))),
                     pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
                 ],
@@ -238,7 +243,7 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     base_score is the smoothed unigram's log10 probability of the text, score the model's. Null and empty texts are one
     end token. Rows are told apart by an id drawn when they are first read and then kept in a table, so
     repeated rows are scored each. With no training text every token has probability 1 in the unigram, and the
-    model knows only that there are CLASSES classes.
+    model knows only how many classes there are.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
