@@ -110,7 +110,8 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = PASSES) -> np.ndar
             q[a] -= row
             q[:, a] -= col
             q[a, a] -= own
-            left, right = q.sum(1), q.sum(0)
+            # What leads to u, and what u leads to, counts in the other side's sums wherever u goes.
+            left, right = q.sum(1) + col, q.sum(0) + row
             gain = (_xlogx(q + row) - _xlogx(q)).sum(1) + (_xlogx(q + col[:, None]) - _xlogx(q)).sum(0)
             diagonal = np.diagonal(q)
             gain += _xlogx(diagonal + row + col + own) - _xlogx(diagonal + row) - _xlogx(diagonal + col) + _xlogx(diagonal)
