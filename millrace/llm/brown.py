@@ -148,6 +148,19 @@ class Model:
     ends: int
 
 
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most `most` of the most frequent words, without a sort: counts fall into steps of about 1 %, at most 4,096 of them,
+    and as many of the upper steps are taken as fit."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 64)
+    sizes = dict(counts.groupBy(step.alias("step")).count().collect())
+    taken, least = 0, max(sizes, default=0) + 1
+    for k in sorted(sizes, reverse=True):
+        if taken + sizes[k] > most:
+            break
+        taken, least = taken + sizes[k], k
+    return counts.where(step >= least).select("word", "ending", "c")
+
+
 def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQUENT, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """The model of docs (doc_id, text; only those outside the held-out fold), and the table (word hash, c) of all counts.
 
@@ -161,8 +174,10 @@ def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQ
     )
     ends = docs.count()
     of_ending = counts.groupBy("ending").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).toArrow().to_pydict()
-    top = counts.orderBy(F.desc("c"), "word").limit(most_frequent).select("word", "ending", "c").toArrow()
+    top = _most_frequent(counts, most_frequent).toArrow()
     hashes, endings, c = top["word"].to_numpy().astype(np.uint64), top["ending"].to_numpy(), top["c"].to_numpy()
+    ranked = np.lexsort([hashes, -c])
+    hashes, endings, c = hashes[ranked], endings[ranked], c[ranked]
     own = np.argsort(hashes[:most_units])
     units = hashes[:most_units][own]
     pairs = docs.mapInArrow(_count_bigrams(units, n_units), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
