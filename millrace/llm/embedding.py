@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.graph import connected_components
+from millrace.llm.labelled import bounded
 from millrace.llm.store import cut, drop
 from millrace.llm.units import LINKED, linked_rows, with_units
 
@@ -218,7 +219,7 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD) -> Data
         keyed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("rep"), F.first("embedding").alias("vector")), "cover-classes"
     )
     sampled: dict[int, list] = {}
-    for (v,) in classes.orderBy(F.xxhash64("node", F.lit(23)), "node").limit(SAMPLE).select("vector").collect():
+    for (v,) in bounded(classes, "node", SAMPLE, 23).select("vector").toLocalIterator():
         sampled.setdefault(len(v), []).append(v)
     pivots = {dim: (u := unit(np.array(v)))[net(u, PIVOTS)] for dim, v in sampled.items()}
     kind = classes.schema["vector"].dataType.simpleString()
