@@ -97,3 +97,40 @@ def wnid(path: Column) -> Column:
     """The first class id (n and eight digits) in a path; a path without one fails the query."""
     found = F.regexp_extract(path, "n[0-9]{8}", 0)
     return F.when(found == "", F.raise_error(F.concat(F.lit("no class id in "), path))).otherwise(found)
+
+
+def audio_source(time_base: tuple[Column, Column], sample_rate: Column, sample_fmt: Column, layout: Column, label: str | None = None) -> Column:
+    """The node that feeds audio into a filter graph; with a label, several can be told apart."""
+    name = "abuffer" if label is None else f"abuffer@{label}"
+    return F.concat(
+        F.lit(f"{name}=time_base="), _number(time_base[0]), F.lit("/"), _number(time_base[1]), F.lit(":sample_rate="), _number(sample_rate),
+        F.lit(":sample_fmt="), sample_fmt, F.lit(":channel_layout="), layout,
+    )
+
+
+def video_source(width: Column, height: Column, pix_fmt: Column, time_base: tuple[Column, Column], aspect: tuple[Column, Column], label: str | None = None) -> Column:
+    """The node that feeds frames into a filter graph."""
+    name = "buffer" if label is None else f"buffer@{label}"
+    ratio = lambda r: F.concat(_number(r[0]), F.lit("/"), _number(r[1]))
+    return F.concat(
+        F.lit(f"{name}=video_size="), _number(width), F.lit("x"), _number(height), F.lit(":pix_fmt="), pix_fmt, F.lit(":time_base="), ratio(time_base),
+        F.lit(":pixel_aspect="), ratio(aspect),
+    )
+
+
+def filter_for(media: Column, audio: Column, video: Column) -> Column:
+    """The description by the kind of media; null for another kind."""
+    return F.when(media == "audio", audio).when(media.isin("video", "image"), video)
+
+
+def rational_window(start, end) -> tuple[tuple[int, int], tuple[int, int]]:
+    """A window's ends (numbers, decimals, fractions or their texts) as exact (numerator, denominator) pairs."""
+    from fractions import Fraction
+
+    return tuple((f.numerator, f.denominator) for f in (Fraction(start), Fraction(end)))
+
+
+def before(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Is the rational a below b? By cross-multiplication, exactly; denominators are positive."""
+    wide = lambda x, y: x.cast("decimal(19,0)") * y.cast("decimal(19,0)")
+    return wide(a[0], b[1]) < wide(b[0], a[1])

@@ -604,6 +604,17 @@ def audio_filter_desc(spark, d):
     return table(spark, d, "part").select("p_partkey", text.alias("description"))
 
 
+@query(
+    "SELECT p_partkey, 'buffer@in=video_size=' || (p_size * 16)::VARCHAR || 'x' || (p_size * 9)::VARCHAR || ':pix_fmt=yuv420p:time_base=1/' || p_size::VARCHAR || ':pixel_aspect=1/1' AS video, "
+    "'abuffer=time_base=1/' || p_size::VARCHAR || ':sample_rate=' || (p_size * 1000)::VARCHAR || ':sample_fmt=fltp:channel_layout=stereo' AS audio FROM part"
+)
+def source_desc(spark, d):
+    c, one = F.col, F.lit(1)
+    video = filters.video_source(c("p_size") * 16, c("p_size") * 9, F.lit("yuv420p"), (one, c("p_size")), (one, one), "in")
+    audio = filters.audio_source((one, c("p_size")), c("p_size") * 1000, F.lit("fltp"), F.lit("stereo"))
+    return table(spark, d, "part").select("p_partkey", video.alias("video"), audio.alias("audio"))
+
+
 @query("SELECT p_partkey, regexp_extract('train/n' || lpad(p_partkey::VARCHAR, 8, '0') || '/x.JPEG', 'n[0-9]{8}') AS wnid FROM part")
 def wnid_parse(spark, d):
     path = F.concat(F.lit("train/n"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("/x.JPEG"))
@@ -670,3 +681,27 @@ def duplicate_specs(spark, d):
     s = table(spark, d, "orders").select("o_orderkey", F.array_sort(F.array_distinct(F.array(F.col("o_custkey") % 3, F.col("o_orderkey") % 4))).alias("spec"))
     first = s.groupBy("spec").agg(F.min("o_orderkey").alias("first"))
     return s.join(first, "spec").where("o_orderkey <> first").select("o_orderkey")
+
+
+@query(
+    "SELECT event_id, CASE WHEN v > 0 THEN 'throughput' WHEN s > 0 THEN 'step_ms' WHEN u > 0 THEN 'duration_s' ELSE 'none' END AS kind, "
+    "CASE WHEN v > 0 THEN v WHEN s > 0 THEN -s WHEN u > 0 THEN -u ELSE '-Infinity'::DOUBLE END AS metric FROM "
+    "(SELECT event_id, CASE WHEN event_type = 'click' THEN value END AS v, CASE WHEN event_type <> 'view' THEN value - 50 END AS s, (user_id - 20)::DOUBLE AS u FROM events)"
+)
+def metric_preference(spark, d):
+    e = table(spark, d, "events")
+    kind, value = stats.comparison(F.when(F.col("event_type") == "click", F.col("value")), F.when(F.col("event_type") != "view", F.col("value") - 50), F.col("user_id") - 20)
+    return e.select("event_id", kind.alias("kind"), value.alias("metric"))
+
+
+@query(
+    "WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 2 END AS parent_id, CASE WHEN p_partkey % 7 = 3 THEN 5000 - p_retailprice ELSE -1 END AS duration FROM part), "
+    "b AS (SELECT id FROM n WHERE duration > 0 ORDER BY duration, id LIMIT 1), up AS (SELECT n.id, n.parent_id FROM n JOIN b USING (id) UNION ALL "
+    "SELECT n.id, n.parent_id FROM up JOIN n ON n.id = up.parent_id) SELECT parent_id AS parent, id AS child FROM up WHERE parent_id IS NOT NULL"
+)
+def best_experiment_path(spark, d):
+    part = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.floor((F.col("p_partkey") - 1) / 2)).alias("parent_id"),
+        F.when(F.col("p_partkey") % 7 == 3, 5000 - F.col("p_retailprice")).otherwise(-1).alias("duration"),
+    )
+    return stats.best_path(part)

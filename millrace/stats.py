@@ -154,3 +154,33 @@ def p2_percentiles(df: DataFrame, name: str, order: str, value: str, percents: t
 
     kind = df.schema[name].dataType.simpleString()
     return df.select(name, order, value).groupBy(name).applyInPandas(run, f"{name} {kind}, count long, {', '.join(f'{c} double' for c in columns)}")
+
+
+def comparison(throughput: Column, step_ms: Column, duration: Column) -> tuple[Column, Column]:
+    """(kind, value) by which runs are compared, larger being better: throughput, else step time, else duration, if positive."""
+    kind = F.when(throughput > 0, "throughput").when(step_ms > 0, "step_ms").when(duration > 0, "duration_s").otherwise("none")
+    value = F.when(throughput > 0, throughput.cast("double")).when(step_ms > 0, -step_ms.cast("double")).when(duration > 0, -duration.cast("double"))
+    return kind, F.coalesce(value, F.lit(float("-inf")))
+
+
+def best_path(nodes: DataFrame) -> DataFrame:
+    """(parent, child) edges from the root to the node with the least positive duration, of nodes (id, parent_id, duration); one
+    whose parent isn't there is a root. The path is walked by a recursive query."""
+    return nodes.sparkSession.sql(
+        "WITH RECURSIVE up(child, parent) MAX RECURSION LEVEL 1000 AS ("
+        "SELECT id, parent_id FROM {n} WHERE id = (SELECT min_by(id, struct(duration, id)) FROM {n} WHERE duration > 0) "
+        "UNION ALL SELECT x.id, x.parent_id FROM up JOIN {n} x ON x.id = up.parent) "
+        "SELECT up.parent, up.child FROM up JOIN {n} p ON p.id = up.parent", n=nodes,
+    )
+
+
+def mean_interval(df: DataFrame, name: str, value: str, quantile: float = 1.96) -> DataFrame:
+    """(name, n, mean, low, high): an interval of the mean of repeated runs, of `quantile` standard errors to each side."""
+    out = df.groupBy(name).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
+    half = F.coalesce(quantile * F.col("_s") / F.sqrt("n"), F.lit(0.0))
+    return out.select(name, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
+def append(stream: DataFrame, table: str, checkpoint: str):
+    """A sink of statistics: each micro-batch is added to a Parquet table, which takes all of it or nothing."""
+    return stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

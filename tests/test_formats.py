@@ -176,3 +176,18 @@ def test_pairs_against_a_fold(spark):
         df = spark.createDataFrame([(0, *e) for e in events], "g int, i int, kind string")
         got = sorted((r.started, r.stopped) for r in stats.event_pairs(df, "i", "kind", "start", "stop", ["g"]).collect())
         assert got == sorted(_fifo(events))
+
+
+def test_rationals_and_intervals(spark):
+    assert filters.rational_window("0.1", 2) == ((1, 10), (2, 1))
+    L = F.lit
+    got = spark.range(1).select(filters.before((L(1), L(3)), (L(334), L(1000))), filters.before((L(2), L(6)), (L(1), L(3)))).first()
+    assert tuple(got) == (True, False)
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "name string, v double")
+    rows = {r.name: r for r in stats.mean_interval(df, "name", "v").collect()}
+    assert rows["a"].mean == 2.0 and rows["a"].low < 2 < rows["a"].high and rows["b"].low == rows["b"].high == 5.0
+
+
+def test_a_best_path_without_parents(spark):
+    df = spark.createDataFrame([(1, 9, 2.0), (2, 1, 1.0), (3, 1, 0.0), (4, 2, None)], "id long, parent_id long, duration double")
+    assert [tuple(r) for r in stats.best_path(df).collect()] == [(1, 2)]
