@@ -19,7 +19,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.labelled import held_out, sample
+from millrace.llm.labelled import bounded, held_out, sample
+from millrace.llm.store import cut
 from millrace.llm.words import byte_classes, find_words, slices
 
 FOLDS = 5
@@ -186,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     Without toxic or without ordinary training documents, the model scores every document alike: the share of toxic
     ones seen.
     """
-    found = sample(docs, labels, "toxic", FOLDS, {0: ORDINARY_SAMPLE, 1: TOXIC_SAMPLE}).select("doc_id", "text", "label")
+    # The corpus is read once for the sample, whose size is bounded; every later pass reads that table.
+    found = cut(sample(docs, labels, "toxic", FOLDS, {0: ORDINARY_SAMPLE, 1: TOXIC_SAMPLE}).select("doc_id", "text", "label"), "toxic-sample")
     n = dict(found.groupBy("label").count().collect())
     if not n.get(1) or not n.get(0):
         share = min(max(n.get(1, 0) / max(1, sum(n.values())), 1e-3), 1 - 1e-3)
@@ -195,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     words = [w.encode() for w, t in sorted(marking.items()) for _ in range(min(t, 50))]
     np.random.default_rng(3).shuffle(words)
     toxic = [b" " + b" ".join(words[k : k + 12]) + b" " for k in range(0, len(words), 12)]
-    texts = found.where("label = 0").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(ORDINARY_TEXTS)
+    texts = bounded(found.where("label = 0"), "doc_id", ORDINARY_TEXTS, 5)
     ordinary = [w.encode() for (t,) in texts.select(F.lower("text")).toLocalIterator() for w in t.split("\n")]
     first = Model(_dictionary(toxic, DICTIONARY_BYTES), _dictionary(ordinary, DICTIONARY_BYTES), 1, ())
     # The threshold: the least distance that at most one ordinary document in a thousand reaches.
