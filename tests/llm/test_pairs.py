@@ -189,3 +189,20 @@ def test_components_and_forests(spark):
     a, b = map(np.array, zip(*edges, strict=True))
     assert forest(240, a, b).tolist() == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lines_with_several_changed_words(spark):
+    """Every pair with edit similarity 0.8 or more in words is found, however many words were changed."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgé") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    lines = []
+    for n, k in [(10, 2), (15, 3), (20, 2), (20, 4), (30, 3), (30, 6), (50, 5), (100, 5)]:
+        for _ in range(8):
+            w = rng.sample(vocabulary, n)
+            lines.append(" ".join(w))
+            for at in rng.sample(range(n), k):
+                w[at] = rng.choice(vocabulary)
+            lines.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
+    assert [got[i] for i in range(len(lines))] == [i % 2 for i in range(len(lines))]
