@@ -206,3 +206,22 @@ def test_lines_with_several_changed_words(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
     assert [got[i] for i in range(len(lines))] == [i % 2 for i in range(len(lines))]
+
+
+def test_lines_alike_in_characters_or_but_for_punctuation(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefgé") for _ in range(rng.randint(4, 8))) for _ in range(300)]
+    pairs = [
+        ("Read more...", "Read more"), ("Copyright 2020 X", "Copyright 2021 X"), ("informations", "information"), ("a  b\tc", "a b c\r"), ("xylophone quartet", "xylophone-quartet"), ("sign in to comment", "sjgn in to comment"),
+    ]
+    for _ in range(20):  # a typo in three words of ten
+        w = rng.sample(vocabulary, 20)
+        other = list(w)
+        for at in rng.sample(range(20), 6):
+            other[at] = other[at][:2] + "x" + other[at][3:]
+        pairs.append((" ".join(w), " ".join(other)))
+    apart = ["Copyright 1999 Y", "on", "in", "..."]
+    rows = [*(s for p in pairs for s in p), *apart]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
+    assert [got[i] for i in range(len(rows))] == [0, 1] * len(pairs) + [0] * len(apart)
