@@ -157,9 +157,11 @@ def _contexts(wanted: np.ndarray):
 def _marking(found: DataFrame, n_toxic: int, n_ordinary: int) -> dict[str, int]:
     """Words that mark toxic documents of the sample, with the number of their contexts there.
 
-    A word counts once for each pair of neighbours, and must have many for its occurrences: the words of a toxic text
-    that many documents repeat mark that text, not toxicity.
+    A word counts once for each pair of neighbours, and equal texts count once: the words of a toxic text that many
+    documents repeat mark that text, not toxicity, and copies take no word away that other texts support. n_toxic and
+    n_ordinary are the numbers of different texts.
     """
+    found = found.select("label", "text").distinct()
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
     df = found.select("label", F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(
         F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")
@@ -173,11 +175,11 @@ def _marking(found: DataFrame, n_toxic: int, n_ordinary: int) -> dict[str, int]:
     name = dict(zip(hashes.astype(np.int64).tolist(), likely, strict=True))
     seen = (
         found.select("label", "text").mapInArrow(_contexts(np.sort(hashes)), "word long, before long, after long, label int")
-        .groupBy("word", "before", "after", "label").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"), F.sum("n").alias("n"))
+        .distinct()
+        .groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
     )
     return {
-        name[w]: t for w, t, o, n in seen.toLocalIterator() if t and _ratio(t, o, share) >= LEAST_RATIO and (t >= 30 or 2 * t >= n)
+        name[w]: t for w, t, o in seen.toLocalIterator() if t and t > 4 * share * (t + o) and _ratio(t, o, share) >= LEAST_RATIO
     }
 
 
@@ -193,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not n.get(1) or not n.get(0):
         share = min(max(n.get(1, 0) / max(1, sum(n.values())), 1e-3), 1 - 1e-3)
         return Model(b" " * 8, b" " * 8, 1, (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
-    marking = _marking(found, n[1], n[0])
+    texts = dict(found.select("label", "text").distinct().groupBy("label").count().collect())
+    marking = _marking(found, texts[1], texts[0])
     words = [w.encode() for w, t in sorted(marking.items()) for _ in range(min(t, 50))]
     np.random.default_rng(3).shuffle(words)
     toxic = [b" " + b" ".join(words[k : k + 12]) + b" " for k in range(0, len(words), 12)]

@@ -169,3 +169,15 @@ def test_exchange_finds_alternating_classes():
                 n[a + 1, b + 1] = rng.integers(5, 20)
     of = brown.exchange(n, 3)
     assert of[0] == 0 and len(set(of[1:][side == 0])) == 1 and len(set(of[1:][side == 1])) == 1
+
+
+def test_copies_of_a_toxic_text_remove_no_marker(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice(["th", "an", "er", "in", "ou"]) for _ in range(3)) for _ in range(120)]
+    text = lambda *more: " ".join(rng.sample([rng.choice(vocabulary) for _ in range(20)] + list(more), 20 + len(more)))
+    rows = [(text("zarg"), 1) for _ in range(21)] + [(text(), 0) for _ in range(300)]
+    copies = [("one two zarg three four", 1)] * 400
+    for each in (rows, rows + copies):
+        found = spark.createDataFrame(each, "text string, label int")
+        n = dict(found.distinct().groupBy("label").count().collect())
+        assert set(toxicity._marking(found, n[1], n[0])) == {"zarg"}
