@@ -180,7 +180,7 @@ def _scanner(shared, text: str, state: bool):
             items = [set() for _ in range(words.rows)]
             for row, item in pairs.tolist():
                 items[row].add(block.ids[item])
-            rows = np.flatnonzero(np.add.reduceat(hit, np.minimum(words.first[:-1], max(0, len(hit) - 1))) > 0) if len(hit) else []
+            rows = np.flatnonzero(np.bincount(words.row, weights=hit, minlength=words.rows))
             masks: list[bytes | None] = [None] * words.rows
             n_hit = np.zeros(words.rows, np.int64)
             for row in rows:

@@ -216,3 +216,9 @@ def test_sql(spark, name, tmp_path):
     got, want = plain(queries.QUERIES[name](spark, DATA).toPandas()), plain(con.execute(queries.ORACLES[name]).df())
     for c in got.columns:  # an integer column with nulls has another type in each frame
         assert [str(x).removesuffix(".0").replace("<NA>", "nan").replace("None", "nan") for x in got[c]] == [str(x).removesuffix(".0").replace("<NA>", "nan").replace("None", "nan") for x in want[c]], c
+
+
+def test_a_hit_on_the_last_word_before_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "some words secret"), (2, ""), (3, None)], "doc_id long, text string").coalesce(1)
+    found = decontaminate.contamination(docs, spark.createDataFrame([("a", "Secret")], "item_id string, text string"))
+    assert [(r.n_hit, r["items"]) for r in found.orderBy("row.doc_id").collect()] == [(1, ["a"]), (0, []), (0, [])]
