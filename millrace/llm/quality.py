@@ -23,7 +23,7 @@ from millrace.llm.words import Words, as_rows, buffers, byte_classes, find_words
 
 FOLDS = 5  # documents of fold 0 are kept out of training
 SAMPLE = 3_000  # labelled documents for each grade
-GRADES = 10  # grades beyond the first GRADES distinct ones are joined to the last
+GRADES = 10  # grades from the GRADES-th distinct one on are joined to that one
 BUCKETS = 1 << 15
 STEPS = 150
 RIDGE = 3e-3
@@ -166,6 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_gra
     With fewer than two grades among them there is nothing to order: every document then gets the one grade seen, or 0.
     """
     seen = [r[0] for r in labels.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(label).limit(GRADES).select(label).collect()]
+    if len(seen) == GRADES:
+        labels = labels.withColumn(label, F.least(F.col(label), F.lit(seen[-1])))
     found = sample(docs, labels, label, FOLDS, {int(g): per_grade for g in seen}) if seen else None
     rows = found.select("text", "label").mapInArrow(_featurise, "label int, bucket array<int>, value array<float>").toArrow() if seen else None
     grades = sorted(set(rows["label"].to_pylist())) if seen else []

@@ -181,3 +181,12 @@ def test_copies_of_a_toxic_text_remove_no_marker(spark):
         found = spark.createDataFrame(each, "text string, label int")
         n = dict(found.distinct().groupBy("label").count().collect())
         assert set(toxicity._marking(found, n[1], n[0])) == {"zarg"}
+
+
+def test_grades_beyond_the_tenth_are_joined_to_it(spark):
+    rows = [(i, " ".join([f"grade{i % 13}"] * 3 + ["word"] * (i % 5))) for i in range(650)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 13) for i in range(650)], "doc_id long, quality int"))
+    assert model.grades == tuple(range(10))
+    got = {r.doc_id: r.expected_grade for r in quality.graded(docs, model).select("row.doc_id", "expected_grade").collect()}
+    assert min(got[i] for i in got if i % 13 >= 10) > 6
