@@ -2,9 +2,11 @@
 
 1. All training words are counted (a shuffle by word hash, so it grows with the corpus and no table of words is
    ever whole in one place).
-2. The UNITS most frequent words are units of their own; every other word belongs to the unit of its last two
+2. The UNITS most frequent words are units of their own; every other word belongs at first to the unit of its last two
    bytes. Bigrams of units, counted over the whole training text, are a table of bounded size.
-3. Exchange clustering moves units between classes while the likelihood of the class bigram grows.
+3. Exchange clustering moves units between classes while the likelihood of the class bigram grows. Then each other one of
+   the FREQUENT most frequent words goes to the class in which its own bigrams with these classes are most likely; only
+   words beyond them keep the class of their ending. The class bigram is counted anew with these classes.
 4. log P(text) = sum of log P(class | class before) + log P(word | class), an end token in a class of its own.
    Transitions are smoothed by Witten-Bell; emissions as (c + A) / (N_C + A (V_C + 1)), one slot for unknown words.
 
@@ -66,14 +68,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _count_bigrams(frequent: np.ndarray, n_units: int):
+def _count_bigrams(frequent: np.ndarray, n_units: int, of: np.ndarray | None = None):
+    """(pair, c) of units or, with the class of each unit, of classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = byte_classes("nonspace")
         total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for _, column in slices(batches, "text"):
             words = find_words(column, classes)
             line = np.zeros(len(words.hash) + words.rows + 1, np.int64)  # an end before the first text and after each
-            line[np.arange(len(words.hash)) + words.row + 1] = _units(words, frequent)
+            unit = _units(words, frequent)
+            line[np.arange(len(words.hash)) + words.row + 1] = unit if of is None else of[unit]
             pair, n = np.unique(line[:-1] * n_units + line[1:], return_counts=True)
             both, back = np.unique(np.concatenate([total[0], pair]), return_inverse=True)
             total = both, np.bincount(back, weights=np.concatenate([total[1], n]), minlength=len(both)).astype(np.int64)
@@ -82,6 +87,59 @@ def _count_bigrams(frequent: np.ndarray, n_units: int):
     return run
 
 
+def _count_sides(frequent: np.ndarray, rest: np.ndarray, of: np.ndarray, classes: int):
+    """(word, place, c): how often a word of rest (sorted hashes) has class `place` before it or, from `classes` on, after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = byte_classes("nonspace")
+        for _, column in slices(batches, "text"):
+            words = find_words(column, kinds)
+            line = np.zeros(len(words.hash) + words.rows + 1, np.int64)
+            place = np.arange(len(words.hash)) + words.row + 1
+            line[place] = of[_units(words, frequent)]
+            at, own = _find(rest, words.hash)
+            at, place = at[own], place[own]
+            key = np.concatenate([at * 2 * classes + line[place - 1], (at * 2 + 1) * classes + line[place + 1]])
+            key, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // (2 * classes)), pa.array((key % (2 * classes)).astype(np.int32)), pa.array(n)], names=["word", "place", "c"])
+
+    return run
+
+
+def _likeliest(weights: np.ndarray):
+    """(word, class): the class with the largest sum of counts times weights (place, class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(sides.offsets.to_numpy()))
+            flat = sides.flatten()
+            table = np.zeros((batch.num_rows, len(weights)))
+            table[row, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+            best = 1 + np.argmax((table @ weights)[:, 1:], 1) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], names=["word", "class"])
+
+    return run
+
+
+def insert(docs: DataFrame, units: np.ndarray, of: np.ndarray, rest: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The class of each word of rest (sorted hashes), none of them a unit, by the counts of the classes before and after it.
+
+    q: counts of the class bigram. One word's counts are at most 2 * classes rows, whatever its frequency.
+    """
+    classes = len(q)
+    out = np.ones(len(rest), np.int64)
+    if not len(rest):
+        return out
+    smooth = q + 1 / classes
+    weights = np.log(np.concatenate([smooth, smooth.T])) - np.log(np.concatenate([np.broadcast_to(smooth.sum(0), q.shape), np.broadcast_to(smooth.sum(1), q.shape)]))
+    sides = docs.mapInArrow(_count_sides(units, rest, of, classes), "word long, place int, c long").groupBy("word", "place").agg(F.sum("c").alias("c"))
+    sides = sides.groupBy("word").agg(F.collect_list(F.struct("place", "c")).alias("sides"))
+    best = sides.mapInArrow(_likeliest(weights), "word long, class int").toArrow()
+    out[best["word"].to_numpy()] = best["class"].to_numpy()
+    return out
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -137,8 +195,8 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = PASSES) -> np.ndar
 
 @dataclass(frozen=True)
 class Model:
-    units: np.ndarray  # sorted hashes of the words that are units
-    of: np.ndarray  # class of each unit
+    units: np.ndarray  # sorted hashes of the frequent words, whose classes are of their own
+    of: np.ndarray  # class of the end, of each ending and of each frequent word
     transition: np.ndarray  # log10 P(class | class before)
     spread: np.ndarray  # log10 of each class's emission denominator
     frequent: np.ndarray  # sorted hashes of the frequent words
@@ -165,7 +223,7 @@ def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQ
     """The model of docs (doc_id, text; only those outside the held-out fold), and the table (word hash, c) of all counts.
 
     most_units bounds the table of bigrams and the clustering on the driver, most_frequent the table that is broadcast; neither
-    leaves a word out, as words beyond them have units by their endings, and counts by the join.
+    leaves a word out, as words beyond most_frequent have classes by their endings, and counts by the join.
     """
     n_units = 1 + ENDINGS + most_units
     docs = docs.where(~held_out("doc_id", FOLDS)).select("text")
@@ -185,26 +243,34 @@ def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQ
     bigrams[pairs["pair"].to_numpy()] = pairs["c"].to_numpy()
     bigrams = bigrams.reshape(n_units, n_units)
     of = exchange(bigrams, classes)
-    # Words and tokens of each unit: of each ending, those that aren't units themselves.
-    types, tokens = np.zeros(n_units), np.zeros(n_units)
+    member = np.zeros((n_units, classes))
+    member[np.arange(n_units), of] = 1
+    order = np.argsort(hashes)
+    frequent = hashes[order]
+    at, own_unit = _find(units, frequent)
+    class_of = np.where(own_unit, of[1 + ENDINGS + at] if len(units) else 0, 0)
+    class_of[~own_unit] = insert(docs, units, of, frequent[~own_unit], member.T @ bigrams @ member)
+    of = np.concatenate([of[: 1 + ENDINGS], class_of])
+    pairs = docs.mapInArrow(_count_bigrams(frequent, classes, of), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    q = np.zeros(classes * classes)
+    q[pairs["pair"].to_numpy()] = pairs["c"].to_numpy()
+    q = q.reshape(classes, classes)
+    # Words and tokens of each unit: of each ending, those that aren't frequent words.
+    types, tokens = np.zeros(len(of)), np.zeros(len(of))
     types[1 + np.array(of_ending["ending"], np.int64)] = of_ending["v"]
     tokens[1 + np.array(of_ending["ending"], np.int64)] = of_ending["n"]
-    np.add.at(types, 1 + endings[:most_units], -1)
-    np.add.at(tokens, 1 + endings[:most_units], -c[:most_units])
-    types[1 + ENDINGS : 1 + ENDINGS + len(units)] = 1
-    tokens[1 + ENDINGS : 1 + ENDINGS + len(units)] = c[:most_units][own]
+    np.add.at(types, 1 + endings, -1)
+    np.add.at(tokens, 1 + endings, -c)
+    types[1 + ENDINGS :] = 1
+    tokens[1 + ENDINGS :] = c[order]
     n_class = np.bincount(of, weights=tokens, minlength=classes)
     v_class = np.bincount(of, weights=types, minlength=classes)
-    member = np.zeros((n_units, classes))
-    member[np.arange(n_units), of] = 1
-    q = member.T @ bigrams @ member
     seen, kinds = q.sum(1, keepdims=True), (q > 0).sum(1, keepdims=True)
     plain = (q.sum(0) + 1) / (q.sum() + classes)
     transition = np.where(seen > 0, (q + kinds * plain) / np.maximum(seen + kinds, 1), plain)
-    order = np.argsort(hashes)
     words = int(sum(of_ending["n"]))
     model = Model(
-        units, of, np.log10(transition), np.log10(n_class + ALPHA * (v_class + 1)), hashes[order], c[order], words + ends, int(sum(of_ending["v"])) + (ends > 0), ends
+        frequent, of, np.log10(transition), np.log10(n_class + ALPHA * (v_class + 1)), frequent, c[order], words + ends, int(sum(of_ending["v"])) + (ends > 0), ends
     )
     return model, counts.select("word", "c")
 

@@ -190,3 +190,15 @@ def test_grades_beyond_the_tenth_are_joined_to_it(spark):
     assert model.grades == tuple(range(10))
     got = {r.doc_id: r.expected_grade for r in quality.graded(docs, model).select("row.doc_id", "expected_grade").collect()}
     assert min(got[i] for i in got if i % 13 >= 10) > 6
+
+
+def test_words_that_are_no_units_get_classes_by_their_own_bigrams(spark):
+    rng = random.Random(4)
+    left, right = ["la", "le", "un"], ["og", "ik", "en"]
+    # Words of two kinds with one ending: what stands before and after tells them apart.
+    one, two = [f"x{k}z" for k in range(20)], [f"y{k}z" for k in range(20)]
+    rows = [(i, " ".join(f"{rng.choice(left)} {rng.choice(one)} {rng.choice(right)} {rng.choice(two)}" for _ in range(10))) for i in range(150)]
+    model, _ = brown.train(spark.createDataFrame(rows, "doc_id long, text string"), most_units=6, classes=6)
+    words = brown.find_words(pa.array([*one, *two]), brown.byte_classes("nonspace"))
+    cls = model.of[brown._units(words, model.units)]
+    assert len(set(cls[:20])) == 1 and len(set(cls[20:])) == 1 and cls[0] != cls[20]
