@@ -31,6 +31,7 @@ FOLDS = 10
 UNITS = 1500
 ENDINGS = 256
 FREQUENT = 200_000
+PARTS = 1 << 16  # parts of a step of counts that is too wide to be taken whole
 CLASSES = 64
 PASSES = 8
 ALPHA = 0.1
@@ -208,7 +209,7 @@ class Model:
 
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """At most `most` of the most frequent words, without a sort: counts fall into steps of about 1 %, at most 4,096 of them,
-    and as many of the upper steps are taken as fit."""
+    and as many of the upper steps are taken as fit. Of the next one, whose counts are alike, words are taken by their hash."""
     step = F.floor(F.log2(F.col("c").cast("double")) * 64)
     sizes = dict(counts.groupBy(step.alias("step")).count().collect())
     taken, least = 0, max(sizes, default=0) + 1
@@ -216,7 +217,16 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
         if taken + sizes[k] > most:
             break
         taken, least = taken + sizes[k], k
-    return counts.where(step >= least).select("word", "ending", "c")
+    rest = [k for k in sizes if k < least]
+    chosen = step >= least
+    if rest and taken < most:
+        part = F.pmod(F.xxhash64("word"), F.lit(PARTS))
+        parts = dict(counts.where(step == max(rest)).groupBy(part.alias("part")).count().collect())
+        upto = 0
+        while upto < PARTS and taken + parts.get(upto, 0) <= most:
+            taken, upto = taken + parts.get(upto, 0), upto + 1
+        chosen |= (step == max(rest)) & (part < upto)
+    return counts.where(chosen).select("word", "ending", "c")
 
 
 def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQUENT, classes: int = CLASSES) -> tuple[Model, DataFrame]:

@@ -202,3 +202,10 @@ def test_words_that_are_no_units_get_classes_by_their_own_bigrams(spark):
     words = brown.find_words(pa.array([*one, *two]), brown.byte_classes("nonspace"))
     cls = model.of[brown._units(words, model.units)]
     assert len(set(cls[:20])) == 1 and len(set(cls[20:])) == 1 and cls[0] != cls[20]
+
+
+def test_the_most_frequent_words_of_a_wide_step(spark):
+    counts = spark.range(5000).selectExpr("id * 7919 as word", "0 as ending", "if(id < 10, 9L, 2L) as c")
+    got = brown._most_frequent(counts, 300)
+    assert 280 <= got.count() <= 300 and got.where("c = 9").count() == 10
+    assert brown._most_frequent(counts, 5000).count() == 5000
