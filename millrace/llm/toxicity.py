@@ -31,7 +31,7 @@ LEAST_RATIO = 20.0  # log-likelihood ratio of a marking window
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 6
 CARRIER = bytes(range(0x21, 0x61))
-WORD_BYTES = 64  # longer words are several windows
+WORD_BYTES = 64  # longer words are several windows, each of which begins in the middle of the one before
 CACHE = 1 << 20
 
 
@@ -57,7 +57,7 @@ class Distances:
         self.hash, self.value = np.empty(0, np.uint64), np.empty(0, np.int16)
 
     def of(self, word: bytes) -> int:
-        windows = [word[k : k + WORD_BYTES] for k in range(0, len(word), WORD_BYTES)]
+        windows = [word[k : k + WORD_BYTES] for k in range(0, max(1, len(word) - WORD_BYTES // 2), WORD_BYTES // 2)]
         windows = [b" " + w + b" " + CARRIER for w in windows]
         return max(len(self.ordinary.compress(w)) - len(self.toxic.compress(w)) for w in windows)
 

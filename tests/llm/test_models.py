@@ -209,3 +209,11 @@ def test_the_most_frequent_words_of_a_wide_step(spark):
     got = brown._most_frequent(counts, 300)
     assert 280 <= got.count() <= 300 and got.where("c = 9").count() == 10
     assert brown._most_frequent(counts, 5000).count() == 5000
+
+
+def test_windows_of_long_words_overlap():
+    marks = [bytes(random.Random(k).choices(range(0x80, 0xC0), k=24)) for k in range(8)]
+    toxic, ordinary = toxicity._dictionary([m for m in marks for _ in range(4)], 1 << 12), toxicity._dictionary([b"plain words"], 1 << 12)
+    distances = toxicity.Distances(toxicity.Model(toxic, ordinary, 1, ()))
+    far = [distances.of(bytes(random.Random(9).choices(range(0xC0, 0xF0), k=at)) + marks[3] + b"\xf1" * 60) for at in range(0, 100, 4)]
+    assert min(far) >= 10
