@@ -150,7 +150,7 @@ def test_lines_of_odd_tables(spark):
 
 def test_line_dedup_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a b c\nd"), (2, "a b c\ne")], "doc_id long, text string")
-    for frame in (line_dedup.dedup_lines(df), line_dedup._buckets(df)):
+    for frame in (line_dedup.dedup_lines(df), line_dedup._sketches(line_dedup._hashed(df), line_dedup._frequencies(line_dedup._hashed(df)))):
         plan = frame._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
@@ -225,3 +225,34 @@ def test_lines_alike_in_characters_or_but_for_punctuation(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
     assert [got[i] for i in range(len(rows))] == [0, 1] * len(pairs) + [0] * len(apart)
+
+
+def test_recall_by_length_and_changes(spark):
+    """Share of the linked pairs at a word similarity of 0.8 or more, by words in the line and words replaced."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(3, 9))) for _ in range(20_000)]
+    cells = [(5, 1), (6, 1), (8, 1), (10, 1), (20, 1), (10, 2), (15, 3), (20, 4), (30, 3), (30, 6), (60, 12), (100, 20)]
+    lines, cell = [], []
+    for n, k in cells:
+        for _ in range(60):
+            w = rng.sample(vocabulary, n)
+            other = list(w)
+            for at in rng.sample(range(n), k):
+                other[at] = rng.choice(vocabulary) + "x" * rng.choice([0, 0, 1, 30])
+            lines += [" ".join(w), " ".join(other)]
+            cell.append((n, k))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
+    assert not any(got[2 * i] for i in range(len(cell)))
+    for c in cells:
+        found = [got[2 * i + 1] for i in range(len(cell)) if cell[i] == c]
+        assert sum(found) >= 0.95 * len(found), (c, sum(found), len(found))
+
+
+def test_very_long_lines(spark):
+    long = [f"w{i}" for i in range(30_000)]
+    near = [*long[:100], "put", "in", *long[100:20_000], *long[20_003:]]
+    far = [w if i % 3 else f"other{i}" for i, w in enumerate(long)]
+    df = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
+    assert got == {1: 0, 2: 1, 3: 0}
