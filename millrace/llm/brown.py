@@ -4,9 +4,10 @@
    ever whole in one place).
 2. The UNITS most frequent words are units of their own; every other word belongs at first to the unit of its last two
    bytes. Bigrams of units, counted over the whole training text, are a table of bounded size.
-3. Exchange clustering moves units between classes while the likelihood of the class bigram grows. Then each other one of
-   the FREQUENT most frequent words goes to the class in which its own bigrams with these classes are most likely; only
-   words beyond them keep the class of their ending. The class bigram is counted anew with these classes.
+3. Exchange clustering moves units between classes, one by one, while the likelihood of the class bigram grows. Then, in ROUNDS rounds,
+   all other ones of the FREQUENT most frequent words are exchanged at once on the executors: each goes to the class in which
+   its own bigrams are most likely, the classes of all other words being those of the round before. Only words beyond them
+   keep the class of their ending. The class bigram is counted anew after each round.
 4. log P(text) = sum of log P(class | class before) + log P(word | class), an end token in a class of its own.
    Transitions are smoothed by Witten-Bell; emissions as (c + A) / (N_C + A (V_C + 1)), one slot for unknown words.
 
@@ -34,6 +35,7 @@ FREQUENT = 200_000
 PARTS = 1 << 16  # parts of a step of counts that is too wide to be taken whole
 CLASSES = 64
 PASSES = 8
+ROUNDS = 2
 ALPHA = 0.1
 
 # Units: 0 is the end of a text, then come endings, then frequent words.
@@ -123,24 +125,31 @@ def _likeliest(weights: np.ndarray):
     return run
 
 
-def insert(docs: DataFrame, units: np.ndarray, of: np.ndarray, rest: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The class of each word of rest (sorted hashes), none of them a unit, by the counts of the classes before and after it.
+def exchanged(docs: DataFrame, frequent: np.ndarray, of: np.ndarray, moving: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The class of each word of moving (sorted hashes, some of frequent) in which its bigrams with the classes `of` before and
+    after it are most likely.
 
     q: counts of the class bigram. One word's counts are at most 2 * classes rows, whatever its frequency.
     """
     classes = len(q)
-    out = np.ones(len(rest), np.int64)
-    if not len(rest):
-        return out
+    out = np.ones(len(moving), np.int64)
     smooth = q + 1 / classes
     weights = np.log(np.concatenate([smooth, smooth.T])) - np.log(np.concatenate([np.broadcast_to(smooth.sum(0), q.shape), np.broadcast_to(smooth.sum(1), q.shape)]))
-    sides = docs.mapInArrow(_count_sides(units, rest, of, classes), "word long, place int, c long").groupBy("word", "place").agg(F.sum("c").alias("c"))
+    sides = docs.mapInArrow(_count_sides(frequent, moving, of, classes), "word long, place int, c long").groupBy("word", "place").agg(F.sum("c").alias("c"))
     sides = sides.groupBy("word").agg(F.collect_list(F.struct("place", "c")).alias("sides"))
     best = sides.mapInArrow(_likeliest(weights), "word long, class int").toArrow()
     out[best["word"].to_numpy()] = best["class"].to_numpy()
     return out
 
 
+def _bigrams(docs: DataFrame, frequent: np.ndarray, n: int, of: np.ndarray | None = None) -> np.ndarray:
+    """The n x n counts of bigrams of units or, with `of`, of classes."""
+    pairs = docs.mapInArrow(_count_bigrams(frequent, n, of), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(n * n)
+    out[pairs["pair"].to_numpy()] = pairs["c"].to_numpy()
+    return out.reshape(n, n)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -248,23 +257,17 @@ def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQ
     hashes, endings, c = hashes[ranked], endings[ranked], c[ranked]
     own = np.argsort(hashes[:most_units])
     units = hashes[:most_units][own]
-    pairs = docs.mapInArrow(_count_bigrams(units, n_units), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-    bigrams = np.zeros(n_units * n_units)
-    bigrams[pairs["pair"].to_numpy()] = pairs["c"].to_numpy()
-    bigrams = bigrams.reshape(n_units, n_units)
-    of = exchange(bigrams, classes)
-    member = np.zeros((n_units, classes))
-    member[np.arange(n_units), of] = 1
+    of = exchange(_bigrams(docs, units, n_units), classes)
     order = np.argsort(hashes)
     frequent = hashes[order]
     at, own_unit = _find(units, frequent)
-    class_of = np.where(own_unit, of[1 + ENDINGS + at] if len(units) else 0, 0)
-    class_of[~own_unit] = insert(docs, units, of, frequent[~own_unit], member.T @ bigrams @ member)
+    # Words that aren't units begin in the class of their ending.
+    class_of = np.where(own_unit, of[1 + ENDINGS + at] if len(units) else 0, of[1 + endings[order]])
     of = np.concatenate([of[: 1 + ENDINGS], class_of])
-    pairs = docs.mapInArrow(_count_bigrams(frequent, classes, of), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-    q = np.zeros(classes * classes)
-    q[pairs["pair"].to_numpy()] = pairs["c"].to_numpy()
-    q = q.reshape(classes, classes)
+    q = _bigrams(docs, frequent, classes, of)
+    for _ in range(ROUNDS if len(frequent) > len(units) else 0):
+        of[1 + ENDINGS :][~own_unit] = exchanged(docs, frequent, of, frequent[~own_unit], q)
+        q = _bigrams(docs, frequent, classes, of)
     # Words and tokens of each unit: of each ending, those that aren't frequent words.
     types, tokens = np.zeros(len(of)), np.zeros(len(of))
     types[1 + np.array(of_ending["ending"], np.int64)] = of_ending["v"]
@@ -288,7 +291,6 @@ def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQ
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, classes = shared.value, byte_classes("nonspace")
-        rng = np.random.default_rng()
         for batch, column in slices(batches, "text"):
             words = find_words(column, classes)
             rows = words.rows
@@ -315,7 +317,7 @@ def _scorer(shared):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(rng.integers(-(1 << 63), (1 << 63) - 1, rows)),
+                    batch.column(1),
                     pa.array(words.counts() + 1),
                     pa.array(n_known),
                     pa.array(near, pa.float64()),
@@ -333,26 +335,30 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
 
     base_score is the smoothed unigram's log10 probability of the text, score the model's. Null and empty texts are one
-    end token. Rows are told apart by an id drawn when they are first read and then kept in a table, so
-    repeated rows are scored each. With no training text every token has probability 1 in the unigram, and the
-    model knows only how many classes there are.
+    end token; texts of any length are read whole. Repeated rows are scored each, alike: rows are told apart by doc_id and a
+    hash of doc_id and text. Where words tie at the bound of the frequent ones, a hash decides, which changes classes but no
+    count. Other columns are left out, so their names can't clash. With no training text every token has probability 1 in the
+    unigram, and the model knows only how many classes there are. An empty table gives an empty one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"), "text")
     parts = cut(
-        docs.select("doc_id", "text").mapInArrow(
+        rows.mapInArrow(
             _scorer(shared), f"doc_id {kind}, row_id long, n_tokens long, n_known long, near double, shape double, rare array<long>, rare_n array<int>"
         ),
         "lm-parts",
     )
-    rare = parts.select("row_id", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row_id", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("n"))
-    met = rare.join(counts, "word", "left").groupBy("row_id").agg(
+    rare = parts.dropDuplicates(["doc_id", "row_id"]).select("doc_id", "row_id", F.explode(F.arrays_zip("rare", "rare_n")).alias("x"))
+    met = rare.select("doc_id", "row_id", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("n")).join(counts, "word", "left").groupBy("doc_id", "row_id").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + ALPHA)).alias("far"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("far_known")
     )
     end = float(np.log10(model.ends + ALPHA))
     one = float(np.log10(model.tokens + ALPHA * (model.types + 1)))
     numerator = F.col("near") + F.coalesce("far", F.lit(0.0))
-    return parts.drop("rare", "rare_n").join(met, "row_id", "left").select(
+    met = met.withColumnRenamed("doc_id", "_id").withColumnRenamed("row_id", "_row")
+    joined = parts.drop("rare", "rare_n").join(met, (F.col("row_id") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return joined.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("far_known", F.lit(0)) + int(model.ends > 0)).cast("long").alias("n_known"),

@@ -24,16 +24,17 @@ def bounded(df: DataFrame, key: str, most: int, salt: int) -> DataFrame:
     return df.where(step <= last)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, most: dict[int, int]) -> DataFrame:
-    """(doc_id, text, label) of at most most[v] labelled training documents for each label v.
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, most: dict[float, int]) -> DataFrame:
+    """(doc_id, text, label) of at most most[v] labelled training documents for each label v, label a double.
 
-    Only ids are sampled, at most sum(most) of them, which is the proven size of the broadcast; documents are read
-    in place, and their texts are whole. Where labels name a document twice, its largest label holds.
+    Ids are sampled first, at most sum(most) of them, which is the proven size of the broadcast; documents are read in
+    place, and their texts are whole. One row for each id stays: where documents name an id twice, the smallest text
+    holds, where labels name it twice, the largest label. Labels that `most` does not name, and null ones, are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id", folds))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    parts = [bounded(known.where(F.col("label") == value), "doc_id", n, 11) for value, n in sorted(most.items())]
-    ids = parts[0]
-    for p in parts[1:]:
-        ids = ids.unionByName(p)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
+    ids = known.limit(0)
+    for value, n in sorted(most.items()):
+        ids = ids.unionByName(bounded(known.where(F.col("label") == F.lit(float(value))), "doc_id", n, 11))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

@@ -23,7 +23,7 @@ from millrace.llm.words import Words, as_rows, buffers, byte_classes, find_words
 
 FOLDS = 5  # documents of fold 0 are kept out of training
 SAMPLE = 3_000  # labelled documents for each grade
-GRADES = 10  # grades from the GRADES-th distinct one on are joined to that one
+GRADES = 32  # more distinct ratings than that are grouped into this many of about equal size, each with its mean as grade
 BUCKETS = 1 << 15
 STEPS = 150
 RIDGE = 3e-3
@@ -38,7 +38,7 @@ _SHAPE[0x80:] = ord("a")
 
 @dataclass(frozen=True)
 class Model:
-    grades: tuple[int, ...]
+    grades: tuple[float, ...]
     thresholds: np.ndarray
     weights: np.ndarray
 
@@ -160,19 +160,32 @@ def fit(starts: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.nda
     return theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1 : k - 1]))]), theta[k - 1 :].astype(np.float64)
 
 
+def _grouped(labels: DataFrame, label: str) -> DataFrame:
+    """labels with at most GRADES distinct ratings, as doubles: where there are more, groups between quantiles get their means."""
+    labels = labels.withColumn(label, F.col(label).cast("double")).where(F.col(label).isNotNull() & ~F.isnan(label))
+    if labels.select(label).distinct().limit(GRADES + 1).count() <= GRADES:
+        return labels
+    edges = sorted(set(labels.approxQuantile(label, [k / GRADES for k in range(1, GRADES)], 1e-3)))
+    group = sum((F.when(F.col(label) > e, 1).otherwise(0) for e in edges), F.lit(0))
+    placed = labels.withColumn("_group", group)
+    means = placed.groupBy("_group").agg(F.avg(label).alias("_mean"))
+    return placed.join(F.broadcast(means), "_group").withColumn(label, F.col("_mean")).drop("_group", "_mean")
+
+
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_grade: int = SAMPLE) -> Model:
     """A model from at most per_grade labelled documents of each grade outside the held-out fold.
 
-    With fewer than two grades among them there is nothing to order: every document then gets the one grade seen, or 0.
+    Ratings are doubles; every rating counts, beyond GRADES distinct ones in groups. Of ratings given twice to one
+    document, the largest holds; null and NaN ratings are none. With fewer than two grades there is nothing to order:
+    every document then gets the one grade seen, or 0. Empty tables of documents or labels are such a case.
     """
-    seen = [r[0] for r in labels.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(label).limit(GRADES).select(label).collect()]
-    if len(seen) == GRADES:
-        labels = labels.withColumn(label, F.least(F.col(label), F.lit(seen[-1])))
-    found = sample(docs, labels, label, FOLDS, {int(g): per_grade for g in seen}) if seen else None
-    rows = found.select("text", "label").mapInArrow(_featurise, "label int, bucket array<int>, value array<float>").toArrow() if seen else None
+    labels = _grouped(labels.select("doc_id", label), label)
+    seen = [r[0] for r in labels.groupBy(label).count().orderBy(label).select(label).collect()]  # GRADES rows at most
+    found = sample(docs, labels, label, FOLDS, {g: per_grade for g in seen}) if seen else None
+    rows = found.select("text", "label").mapInArrow(_featurise, "label double, bucket array<int>, value array<float>").toArrow() if seen else None
     grades = sorted(set(rows["label"].to_pylist())) if seen else []
     if len(grades) < 2:
-        return Model(tuple(grades or [0]), np.empty(0), np.zeros(BUCKETS))
+        return Model(tuple(grades or [0.0]), np.empty(0), np.zeros(BUCKETS))
     rows = rows.combine_chunks()
     lists = rows["bucket"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -211,7 +224,7 @@ def graded(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
 
 def good(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
-    """The rows of docs whose tail probability is at least `least`, unchanged."""
+    """The rows of docs whose tail probability is at least `least` (a row just at it stays), unchanged."""
     return graded(docs, model).where(F.col("tail") >= least).select("row.*")
 
 

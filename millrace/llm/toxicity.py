@@ -1,11 +1,17 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-A window is a word, followed by a fixed carrier that both dictionaries hold, as zstandard stores very short inputs
-as they are and looks for no match in their last bytes. Its distance is its length compressed with the ordinary dictionary less its length compressed
-with the toxic one; positive where the toxic dictionary knows a piece of it. The toxic dictionary is trained on the
-windows that mark toxic documents of the sample (log-likelihood ratio of their document frequencies), the
-ordinary one on whole ordinary documents. A document's largest distances, and the number of windows beyond a
-threshold, go into a logistic curve; threshold and curve are calibrated on the training sample.
+1. A window is WINDOW bytes of a text, the next one begins STEP bytes later, so that each place lies in two windows. Its distance is its
+   length compressed with the ordinary dictionary less its length compressed with the toxic one. Windows of a distance of FAR or more are
+   looked at again in CLOSE bytes at a time, where less of the distance is due to chance; the largest of these distances counts.
+2. Both dictionaries end with the same base, trained on ordinary texts. The first toxic dictionary has segments trained on toxic texts
+   before it.
+3. In ROUNDS rounds, the pieces of training text whose distance is large make new segments: toxic ones stand before the base in the toxic
+   dictionary, ordinary ones, which were mistaken, in the ordinary one. What both kinds of text share is thus in both, or in neither.
+4. A document's figures (its largest two distances of either kind, their mean and mean square, and the windows beyond several
+   thresholds) go into a logistic curve. It is calibrated on figures of either half of the training documents from dictionaries of the other half; those
+   that score have seen both.
+
+Dictionaries are raw content, so that short windows are stored with plain literals and each match counts in full.
 """
 
 from __future__ import annotations
@@ -20,208 +26,204 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.labelled import bounded, held_out, sample
-from millrace.llm.store import cut
-from millrace.llm.words import byte_classes, find_words, slices
+from millrace.llm.store import cut, drop
+from millrace.llm.words import _LOWER, buffers, slices
 
 FOLDS = 5
 TOXIC_SAMPLE = 3_000
-ORDINARY_SAMPLE = 12_000
-ORDINARY_TEXTS = 400  # whole texts for the ordinary dictionary
-LEAST_RATIO = 20.0  # log-likelihood ratio of a marking window
-DICTIONARY_BYTES = 1 << 16
+ORDINARY_SAMPLE = 6_000
+PIECES = 20_000  # pieces of text for each dictionary's training, at most
+WINDOW, STEP = 64, 32
+SHORT, SHORT_STEP = 32, 16  # pieces judged in the further rounds
+LONG = 512  # pieces for the first dictionaries
+ROUNDS = 2
+BASE_BYTES, FIRST_BYTES, TOXIC_BYTES, ORDINARY_BYTES = 1 << 16, 1 << 13, 1 << 13, 1 << 13
+BASE_SEGMENT, SEGMENT = 64, 10
+FAR, MISTAKEN = 3, 2  # least distance of a piece that goes to the toxic, or to the ordinary, dictionary
+CLOSE, CLOSE_STEP = 24, 8
+THRESHOLDS, CLOSE_THRESHOLDS = (3, 5, 7), (3, 4, 5, 6)
+INPUTS = 6 + len(THRESHOLDS) + 3 + len(CLOSE_THRESHOLDS)
+PAD = bytes(range(1, 13))  # after a text, as zstandard finds no match in the last bytes of its input
 LEVEL = 6
-CARRIER = bytes(range(0x21, 0x61))
-WORD_BYTES = 64  # longer words are several windows, each of which begins in the middle of the one before
-CACHE = 1 << 20
 
 
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
     ordinary: bytes
-    threshold: int
     weights: tuple[float, ...]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    data = zstandard.ZstdCompressionDict(dictionary)
+    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
+def windows(text: bytes, size: int, step: int) -> list[bytes]:
+    """Pieces of `size` bytes, one every `step`; together they cover the whole text."""
+    return [text[k : k + size] for k in range(0, max(len(text) - size + step, 1), step)] if text else []
+
+
 class Distances:
-    """Distances of words, by hash; those computed before are kept, up to CACHE of them."""
-
-    def __init__(self, model: Model):
-        self.toxic, self.ordinary = _compressor(model.toxic), _compressor(model.ordinary)
-        self.hash, self.value = np.empty(0, np.uint64), np.empty(0, np.int16)
-
-    def of(self, word: bytes) -> int:
-        windows = [word[k : k + WORD_BYTES] for k in range(0, max(1, len(word) - WORD_BYTES // 2), WORD_BYTES // 2)]
-        windows = [b" " + w + b" " + CARRIER for w in windows]
-        return max(len(self.ordinary.compress(w)) - len(self.toxic.compress(w)) for w in windows)
-
-    def words(self, words) -> np.ndarray:
-        """The distance of each word of a batch."""
-        unique, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        value = np.zeros(len(unique), np.int16)
-        known = np.zeros(len(unique), bool)
-        if len(self.hash):
-            at = np.minimum(np.searchsorted(self.hash, unique), len(self.hash) - 1)
-            known = self.hash[at] == unique
-            value[known] = self.value[at[known]]
-        new = np.flatnonzero(~known)
-        for k in new.tolist():
-            i = first[k]
-            value[k] = self.of(words.data[words.start[i] : words.end[i]].tobytes())
-        if len(self.hash) + len(new) > CACHE:
-            self.hash, self.value = unique, value
-        else:
-            both = np.concatenate([self.hash, unique[new]])
-            order = np.argsort(both)
-            self.hash, self.value = both[order], np.concatenate([self.value, value[new]])[order]
-        return value[inverse.ravel()]
-
-
-def _features(model: Model):
-    """(key columns, largest, second, beyond): the two largest distances, and the windows at the threshold or beyond."""
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.toxic, self.ordinary = _compressor(toxic).compress, _compressor(ordinary).compress
+
+    def of(self, pieces: list[bytes]) -> np.ndarray:
+        toxic, ordinary = self.toxic, self.ordinary
+        return np.fromiter((len(ordinary(p)) - len(toxic(p)) for p in pieces), np.int64, len(pieces))
+
+
+    def of_text(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of the text's windows, and of those of FAR or more as seen from close."""
+        pieces = windows(text + PAD, WINDOW, STEP) if text else []
+        d = self.of(pieces)
+        return d, np.array([self.of(windows(pieces[i], CLOSE, CLOSE_STEP)).max() for i in np.flatnonzero(d >= FAR).tolist()], np.int64)
+
+
+def _two(d: np.ndarray) -> list[float]:
+    two = [*np.sort(d)[::-1][:2].tolist(), 0.0, 0.0]
+    return two[:2]
+
+
+def figures(d: np.ndarray, close: np.ndarray) -> list[float]:
+    """The inputs of the curve, from the distances of a document's windows; all 0 but the first where there are none."""
+    if not len(d):
+        return [1.0] + [0.0] * (INPUTS - 1)
+    squares = lambda x: float((np.maximum(x, 0) ** 2).sum() / len(d))
+    beyond = [math.log1p(int((d >= t).sum())) for t in THRESHOLDS] + [math.log1p(int((close >= t).sum())) for t in CLOSE_THRESHOLDS]
+    return [1.0, *_two(d), float(d.mean()), math.sqrt(squares(d)), math.log(len(d)), *_two(close), squares(close), *beyond]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches with their texts as bytes, A-Z lower-cased; null texts are empty."""
+    for batch, column in slices(batches, "text"):
+        data, offsets = buffers(column)
+        whole, at = _LOWER[data].tobytes(), offsets.tolist()
+        yield batch, [whole[at[i] : at[i + 1]] for i in range(len(at) - 1)]
+
+
+def _far_pieces(toxic: bytes, ordinary: bytes, size: int, step: int, least: dict[int, int]):
+    """(piece, label): the pieces whose distance, in the direction of their label's mistake or proof, is large enough; all pieces where
+    the dictionaries are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances, classes = Distances(model), byte_classes("alnum")
-        for batch, column in slices(batches, "text"):
-            words = find_words(column, classes)
-            d = distances.words(words)
-            order = np.lexsort([-d, words.row])
-            d, row = d[order], words.row[order]
-            out = np.zeros((words.rows, 3), np.float64)
-            have = np.flatnonzero(words.counts())
-            out[have, 0] = d[words.first[have]]
-            two = np.flatnonzero(words.counts() > 1)
-            out[two, 1] = d[words.first[two] + 1]
-            out[:, 2] = np.bincount(row, weights=d >= model.threshold, minlength=words.rows)
-            keep = [k for k, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(out[:, k]) for k in range(3))], names=[*(batch.schema.names[k] for k in keep), "largest", "second", "beyond"])
+        distances = Distances(toxic, ordinary) if toxic else None
+        for batch, texts in _texts(batches):
+            labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
+            pieces, of = [], []
+            for text, label in zip(texts, labels, strict=True):
+                mine = windows(text, size, step)
+                if distances:
+                    mine = [mine[i] for i in np.flatnonzero(distances.of(mine) >= least[int(label)]).tolist()]
+                pieces += mine
+                of += [int(label)] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array(of, pa.int32())], names=["piece", "label"])
 
     return run
 
 
-def _shape(largest, second, beyond) -> list:
-    return [1.0, np.maximum(largest, 0), np.maximum(second, 0), np.log1p(beyond)]
+def _figured(toxic: bytes, ordinary: bytes, weights: tuple[float, ...] | None):
+    """doc_id with label and figures or, with weights, with its score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(toxic, ordinary)
+        for batch, texts in _texts(batches):
+            x = np.array([figures(*distances.of_text(t)) for t in texts])
+            if weights is None:
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
+            else:
+                z = np.clip(x @ np.array(weights), -30, 30)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
+
+    return run
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+    """Logistic regression by Newton steps, on columns scaled to unit deviation; weights for the columns as they are."""
+    mean, scale = x.mean(0), x.std(0)
+    mean[0], scale = 0.0, np.where(scale > 0, scale, 1.0)
+    x = (x - mean) / scale
     w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
         step *= min(1.0, 5 / max(1e-12, np.abs(step).max()))
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
+    w = w / scale
+    w[0] -= mean[1:] @ w[1:]
     return w
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary, the carrier at its end; where the samples are too few to train on, one that holds them as
-    they are."""
+def trained(pieces: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary's content trained on pieces of text; where they are too few to train on, one that holds them as they are."""
+    if not pieces:
+        return b""
     try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes() + CARRIER
+        return zstandard.train_dictionary(size, pieces, k=segment, d=6).as_bytes()
     except zstandard.ZstdError:
-        return (b" ".join(samples))[-size:] + b" " + CARRIER
-
-
-def _ratio(t: int, o: int, share: float) -> float:
-    """Log-likelihood ratio of seeing t of t + o in toxic documents, whose share is this."""
-    n = t + o
-    return 2 * (t * math.log(t / (n * share)) + (o * math.log(o / (n * (1 - share))) if o else 0))
-
-
-def _contexts(wanted: np.ndarray):
-    """(word, before, after, label) of the wanted words (sorted hashes), as hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = byte_classes("alnum")
-        for batch, column in slices(batches, "text"):
-            words = find_words(column, classes)
-            label = batch.column(batch.schema.get_field_index("label")).to_numpy()
-            h = np.concatenate([[0], words.hash, [0]]).astype(np.uint64)
-            at = np.flatnonzero(np.isin(words.hash, wanted))
-            columns = [words.hash[at].astype(np.int64), h[at].astype(np.int64), h[at + 2].astype(np.int64), label[words.row[at]].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "before", "after", "label"])
-
-    return run
-
-
-def _marking(found: DataFrame, n_toxic: int, n_ordinary: int) -> dict[str, int]:
-    """Words that mark toxic documents of the sample, with the number of their contexts there.
-
-    A word counts once for each pair of neighbours, and equal texts count once: the words of a toxic text that many
-    documents repeat mark that text, not toxicity, and copies take no word away that other texts support. n_toxic and
-    n_ordinary are the numbers of different texts.
-    """
-    found = found.select("label", "text").distinct()
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
-    df = found.select("label", F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(
-        F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")
-    )
-    share = n_toxic / (n_toxic + n_ordinary)
-    df = df.where((F.col("t") >= 3) & (F.col("t") > F.lit(4 * share) * (F.col("t") + F.col("o"))))
-    likely = [w for w, t, o in df.toLocalIterator() if _ratio(t, o, share) >= LEAST_RATIO]
-    if not likely:
-        return {}
-    hashes = find_words(pa.array(likely), np.ones(256, bool)).hash
-    name = dict(zip(hashes.astype(np.int64).tolist(), likely, strict=True))
-    seen = (
-        found.select("label", "text").mapInArrow(_contexts(np.sort(hashes)), "word long, before long, after long, label int")
-        .distinct()
-        .groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
-    )
-    return {
-        name[w]: t for w, t, o in seen.toLocalIterator() if t and t > 4 * share * (t + o) and _ratio(t, o, share) >= LEAST_RATIO
-    }
+        return b" ".join(dict.fromkeys(pieces))[-size:]
+
+
+def _drawn(pieces: DataFrame, label: int, most: int) -> list[bytes]:
+    """At most `most` of the pieces of a label, by hash, in an order of their own."""
+    rows = bounded(pieces.where(F.col("label") == label), "piece", most, 29).select("piece").toArrow()["piece"].to_pylist()
+    return sorted(rows)
+
+
+def dictionaries(found: DataFrame) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionaries of the texts of found (doc_id, text, label). Equal texts count once."""
+    # Pieces are cut out on the executors; no more than PIECES of them, of LONG bytes at most, come to the driver at a time.
+    texts = found.groupBy("label", "text").agg(F.min("doc_id").alias("doc_id"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
+    schema = "piece binary, label int"
+    cuts = lambda df: df.select("text", "label").mapInArrow(_far_pieces(b"", b"", LONG, LONG, {}), schema)
+    ordinary = texts.where("label = 0")
+    base = trained(_drawn(cuts(ordinary.where(part == 0)), 0, PIECES), BASE_BYTES, BASE_SEGMENT)
+    common = trained(_drawn(cuts(ordinary.where(part == 1)), 0, PIECES), FIRST_BYTES, SEGMENT) + base
+    toxic, mistaken = trained(_drawn(cuts(texts.where("label = 1")), 1, PIECES), FIRST_BYTES, SEGMENT) + common, b""
+    for _ in range(ROUNDS):
+        far = texts.select("text", "label").mapInArrow(_far_pieces(toxic, mistaken + common, SHORT, SHORT_STEP, {1: FAR, 0: MISTAKEN}), schema)
+        far = cut(far, "toxic-pieces")
+        toxic = trained(_drawn(far, 1, PIECES), TOXIC_BYTES, SEGMENT) + common
+        mistaken = trained(_drawn(far, 0, PIECES), ORDINARY_BYTES, SEGMENT) + mistaken
+        drop(far)
+    return toxic, mistaken + common
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most TOXIC_SAMPLE + ORDINARY_SAMPLE labelled documents outside the held-out fold.
 
-    Without toxic or without ordinary training documents, the model scores every document alike: the share of toxic
-    ones seen.
+    Without toxic or without ordinary documents in either half of them, the model scores every document alike: the share of toxic ones
+    seen.
     """
     # The corpus is read once for the sample, whose size is bounded; every later pass reads that table.
-    found = cut(sample(docs, labels, "toxic", FOLDS, {0: ORDINARY_SAMPLE, 1: TOXIC_SAMPLE}).select("doc_id", "text", "label"), "toxic-sample")
-    n = dict(found.groupBy("label").count().collect())
-    if not n.get(1) or not n.get(0):
-        share = min(max(n.get(1, 0) / max(1, sum(n.values())), 1e-3), 1 - 1e-3)
-        return Model(b" " * 8, b" " * 8, 1, (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
-    texts = dict(found.select("label", "text").distinct().groupBy("label").count().collect())
-    marking = _marking(found, texts[1], texts[0])
-    words = [w.encode() for w, t in sorted(marking.items()) for _ in range(min(t, 50))]
-    np.random.default_rng(3).shuffle(words)
-    toxic = [b" " + b" ".join(words[k : k + 12]) + b" " for k in range(0, len(words), 12)]
-    texts = bounded(found.where("label = 0"), "doc_id", ORDINARY_TEXTS, 5)
-    ordinary = [w.encode() for (t,) in texts.select(F.lower("text")).toLocalIterator() for w in t.split("\n")]
-    first = Model(_dictionary(toxic, DICTIONARY_BYTES), _dictionary(ordinary, DICTIONARY_BYTES), 1, ())
-    # The threshold: the least distance that at most one ordinary document in a thousand reaches.
-    scored = found.mapInArrow(_features(first), "doc_id long, label int, largest double, second double, beyond double").toPandas()
-    reach = np.sort(scored.largest[scored.label == 0].to_numpy())[::-1]
-    threshold = int(max(1, reach[min(len(reach) - 1, len(reach) // 1000)] + 1))
-    second = Model(first.toxic, first.ordinary, threshold, ())
-    scored = found.mapInArrow(_features(second), "doc_id long, label int, largest double, second double, beyond double").toPandas()
-    x = np.stack([np.broadcast_to(c, len(scored)) for c in _shape(scored.largest.to_numpy(), scored.second.to_numpy(), scored.beyond.to_numpy())], 1)
-    w = _fit(x, scored.label.to_numpy().astype(float))
-    return Model(first.toxic, first.ordinary, threshold, tuple(map(float, w)))
+    found = cut(sample(docs, labels, "toxic", FOLDS, {0: ORDINARY_SAMPLE, 1: TOXIC_SAMPLE}), "toxic-sample")
+    half = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2))  # copies are in one half
+    n = {(h, int(y)): c for h, y, c in found.groupBy(half.alias("half"), "label").count().collect()}
+    if any(not n.get((h, y)) for h in (0, 1) for y in (0, 1)):
+        share = min(max(sum(c for (_, y), c in n.items() if y) / max(1, sum(n.values())), 1e-3), 1 - 1e-3)
+        return Model(b" " * 8, b" " * 8, (math.log(share / (1 - share)), *[0.0] * (INPUTS - 1)))
+    x, y = [], []
+    for h in (0, 1):
+        toxic, ordinary = dictionaries(found.where(half != h))
+        rows = found.where(half == h).select("label", "text").mapInArrow(_figured(toxic, ordinary, None), "label double, x array<double>").toArrow()
+        x += rows["x"].to_pylist()
+        y += rows["label"].to_pylist()
+    return Model(*dictionaries(found), tuple(map(float, _fit(np.array(x), np.array(y)))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for each row of docs (doc_id, text): the probability of the toxic label. Null and empty texts have
-    no windows and get the score of a document without distances. Whole texts are read, whatever their length."""
+    """(doc_id, score) for each row of docs (doc_id, text): the probability of the toxic label.
+
+    Null and empty texts have no windows and get the curve's value at no distance. Whole texts are read, whatever their
+    length. Repeated rows are scored each, alike; ties need no order. An empty table gives an empty one. Other columns are
+    left out, so their names can't clash.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_features(model), f"doc_id {kind}, largest double, second double, beyond double")
-    w = [F.lit(x) for x in model.weights]
-    z = w[0] + w[1] * F.greatest("largest", F.lit(0.0)) + w[2] * F.greatest("second", F.lit(0.0)) + w[3] * F.log1p("beyond")
-    return rows.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    return docs.select("doc_id", "text").mapInArrow(_figured(model.toxic, model.ordinary, model.weights), f"doc_id {kind}, score double")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
