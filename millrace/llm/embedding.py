@@ -1,15 +1,16 @@
 """Embedding near-dedup: exact cosine pairs by dual traversal of cover trees.
 
-Vectors are scaled to unit length; cosine >= t is a chord of at most sqrt(2 - 2 t). The top of the tree is a net of at
-most PIVOTS centres with halving radii, fitted on a bounded sample; every vector goes to the cell of its nearest
-centre, and pairs of cells too far apart for their covering radii are pruned. Cells are dealt into chunks of about
-CHUNK vectors, each with a tree of nested levels of radius 2, 1, 1/2, ... A unit of work traverses
-two chunks' trees together: a pair of nodes is dropped if the distance of their centres exceeds both covering radii plus
-the chord, else all pairs of their children follow. Nothing but links and forests leaves a unit
-(millrace.llm.units), so a group of near copies gives no row for each pair.
-
-Where vectors have no structure, as random ones in many dimensions, bounds prune little, and the pairs of centres
-compared grow with the square of the input; they are compared by matrix products.
+Vectors are scaled to unit length; cosine >= t is a chord of at most sqrt(2 - 2 t). The upper levels of the tree are grown on the
+executors: a cell of more than CHUNK vectors gets centres from a sample of its own (a net with halving radii), each
+vector goes to the nearest one, and so on until no cell is larger. Such a cell is a chunk, which has a tree of nested levels of
+radius 2, 1, 1/2, ... of its own. Chunks meet in two steps. First only the nodes of radius NODE_RADIUS of all trees are
+compared, in blocks: two chunks go on if the distance of some two of their nodes is no more than both covering radii plus the
+chord. Then a unit of work traverses two chunks' trees together: a pair of nodes is dropped by the same bound, else all pairs
+of their children follow. Nothing but links and forests leaves a unit (millrace.llm.units), so a group of near copies gives
+no row for each pair.
+
+Where vectors have no structure, as random ones in many dimensions, each is a node of its own and bounds prune little, so
+the pairs of nodes compared grow with the square of the input; they are compared by matrix products.
 """
 
 from __future__ import annotations
@@ -19,15 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.graph import connected_components
-from millrace.llm.labelled import bounded
 from millrace.llm.store import cut, drop
-from millrace.llm.units import LINKED, linked_rows, with_units
+from millrace.llm.units import LINKED, deal, linked_rows, with_units
 
 THRESHOLD = 0.95
-SAMPLE = 1024
-PIVOTS = 64
+SAMPLE = 1024  # vectors of a cell from which its centres come, about
+PIVOTS = 64  # centres of a cell, at most
 CHUNK = 4096
+DEPTH = 12  # levels of cells
 LEVELS = 5  # radii 2, 1, 1/2, 1/4, 1/8
+NODE_LEVEL = 3
+NODE_RADIUS = 2.0 ** (1 - NODE_LEVEL)
+NODES = 2048  # nodes in a block
 _BLOCK = 1 << 20  # centre pairs compared at once
 
 
@@ -42,17 +46,15 @@ def _chord(cosine: np.ndarray) -> np.ndarray:
 
 
 def net(v: np.ndarray, most: int) -> np.ndarray:
-    """Centres of the finest net with halving radii that has at most `most` of them; finer nets hold coarser ones."""
+    """At most `most` centres: those of the finest net with halving radii that has no more, and as many of the next finer one, which
+    holds them, as there is room for. One centre only if all of v is within 1/64 of it."""
     centres, radius = [0], 2.0
-    while radius > 1 / 64:
+    near = v @ v[0]
+    while radius > 1 / 64 and len(centres) < most:
         radius /= 2
-        finer, near = list(centres), (v @ v[centres].T).max(1)
-        while len(finer) <= most and (far := np.flatnonzero(_chord(near) > radius)).size:
-            finer.append(int(far[0]))
+        while len(centres) < most and (far := np.flatnonzero(_chord(near) > radius)).size:
+            centres.append(int(far[0]))
             near = np.maximum(near, v @ v[far[0]])
-        if len(finer) > most:
-            break
-        centres = finer
     return np.array(centres)
 
 
@@ -158,7 +160,11 @@ def _grow(table: pa.Table) -> pa.Table:
     v = unit(_matrix(table["vector"]))
     path = cover_tree(v)
     column = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(path.T).ravel()), LEVELS).cast(pa.list_(pa.int32()))
-    return pa.table({"node": table["node"], "chunk": table["chunk"], "copies": table["copies"], "vector": table["vector"], "path": column})
+    at = path[NODE_LEVEL]
+    reach = np.zeros(len(v))
+    np.maximum.at(reach, at, _chord(np.einsum("ij,ij->i", v, v[at])))
+    reach = pa.array(reach + 1e-7, mask=at != np.arange(len(v)))  # of centres only
+    return pa.table({"node": table["node"], "dim": table["dim"], "chunk": table["chunk"], "copies": table["copies"], "vector": table["vector"], "path": column, "reach": reach})
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -184,30 +190,102 @@ def _pairs(threshold: float):
     return run
 
 
-def _assign(pivots: dict[int, np.ndarray]):
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("vector"))
-            n = np.diff(lists.offsets.to_numpy())
-            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            cell, dist = np.zeros(len(lists), np.int32), np.zeros(len(lists))
-            for dim in np.unique(n).tolist():
-                rows = np.flatnonzero(n == dim)
-                cosine = unit(flat[at[rows][:, None] + np.arange(dim)]) @ pivots.get(dim, np.eye(1, dim)).T
-                cell[rows] = cosine.argmax(1)
-                dist[rows] = _chord(cosine.max(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(n.astype(np.int32)), pa.array(cell), pa.array(dist)], names=["node", "copies", "vector", "dim", "cell", "dist"])
+def _meeting(threshold: float):
+    """(c1, c2): chunks some of whose nodes (owner, vector, reach) are too near to be told apart."""
+    chord = float(np.sqrt(2 - 2 * threshold)) + 1e-6
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        owner, reach, side = (table[c].to_numpy() for c in ("owner", "reach", "side"))
+        v = unit(_matrix(table["vector"]))
+        one = np.flatnonzero(side <= 1)
+        two = np.flatnonzero(side != 1)
+        found = set()
+        other, owners, reaches = v[two].T, owner[two], reach[two]
+        rows = max(1, _BLOCK // max(1, len(two)))
+        for k in range(0, len(one), rows):
+            part = one[k : k + rows]
+            least = 1 - np.minimum(reach[part][:, None] + reaches[None, :] + chord, 2.0) ** 2 / 2
+            i, j = np.nonzero((v[part] @ other >= least) & (owner[part][:, None] != owners[None, :]))
+            a, b = owner[part][i], owners[j]
+            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        pairs = sorted(found)
+        return pa.table({"c1": pa.array([p[0] for p in pairs], pa.int64()), "c2": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return run
+
+
+def _centres(chunk: int, pivots: int):
+    """(cell, k, centre) of a cell's sample."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("node")
+        most = int(np.clip(2 * table["n"][0].as_py() // chunk, 2, pivots))
+        at = net(unit(_matrix(table["vector"])), most)
+        lists = table["vector"].combine_chunks().take(pa.array(at))
+        return pa.table({"cell": pa.array([key[0].as_py()] * len(at), pa.int64()), "k": pa.array(np.arange(len(at)), pa.int32()), "centre": lists})
 
     return run
 
 
+def _nearest(points: pa.Table, centres: pa.Table) -> pa.Table:
+    """Which of their cell's centres the points are nearest to; a cell with one centre isn't split any further."""
+    points = points.combine_chunks()
+    if not len(points):
+        k, last = np.zeros(0, np.int32), np.zeros(0, bool)
+    else:
+        centres = centres.combine_chunks().sort_by("k")
+        k = (unit(_matrix(points["vector"])) @ unit(_matrix(centres["centre"])).T).argmax(1).astype(np.int32)
+        last = np.full(len(points), len(centres) == 1)
+    return pa.table({c: points[c] for c in ("node", "copies", "vector", "dim", "cell", "piece")} | {"k": pa.array(k), "last": pa.array(last)})
+
+
+def chunks_of(points: DataFrame) -> DataFrame:
+    """points (node, copies, vector, dim) with the chunk each belongs to: cells of at most about CHUNK vectors of one length, near to each other.
+
+    A level is one shuffle of the vectors of cells that are still too large. Such a cell is dealt over pieces of CHUNK rows, each of
+    which meets a copy of the cell's centres, so that no task holds a cell. Where vectors are so near to each other that
+    there is one centre only, a cell is dealt by hash.
+    """
+    kind = points.schema["vector"].dataType.simpleString()
+    columns = ["node", "copies", "vector", "dim", "cell"]
+    state = cut(points.withColumn("cell", F.xxhash64("dim")), "cover-cells")
+    done = []
+    for level in range(DEPTH + 1):
+        sizes = cut(state.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("pieces", F.ceil(F.col("n") / CHUNK).cast("int")), "cover-sizes")
+        sized = state.join(sizes, "cell")
+        piece = F.pmod(F.xxhash64("node", F.lit(17)), F.col("pieces")).cast("int")
+        if level == DEPTH or not sizes.where("pieces > 1").head(1):
+            done.append(cut(sized.select(*columns[:-1], F.xxhash64("cell", piece).alias("chunk")), "cover-done"))
+            drop(state, sizes)
+            break
+        done.append(cut(sized.where("pieces = 1").select(*columns[:-1], F.xxhash64("cell", F.lit(0)).alias("chunk")), "cover-done"))
+        wide = sized.where("pieces > 1").withColumn("piece", piece)
+        some = wide.where(F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("n") / SAMPLE)) == 0)
+        centres = cut(some.select("cell", "node", "n", "vector").groupBy("cell").applyInArrow(_centres(CHUNK, PIVOTS), f"cell long, k int, centre {kind}"), "cover-centres")
+        copied = centres.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "k", "centre")
+        split = wide.select(*columns, "piece").groupBy("cell", "piece").cogroup(copied.groupBy("cell", "piece")).applyInArrow(
+            _nearest, f"node long, copies long, vector {kind}, dim int, cell long, piece int, k int, last boolean"
+        )
+        split = cut(split, "cover-split")
+        done.append(cut(split.where("last").select(*columns[:-1], F.xxhash64("cell", "piece").alias("chunk")), "cover-done"))
+        narrower = cut(split.where("not last").select(*columns[:-1], F.xxhash64("cell", "k", F.lit(level)).alias("cell")), "cover-cells")
+        drop(state, sizes, centres, split)
+        state = narrower
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
 
     Two vectors of the same length are linked if their cosine, in double precision, is at least `threshold` (0 < t < 1).
     n_links counts the other rows linked directly, component_id is the smallest vec_id reachable, kept whether it is the
     row's own. Null and empty vectors, zero vectors, and those with null or non-finite components link with nothing. Equal vectors
-    are compared once and count as often as they occur. Rows that repeat a vec_id are rows of their own, linked with
+    are compared once and count as often as they occur. An empty table gives an empty one; other columns are left out, so their
+    names can't clash. Rows that repeat a vec_id are rows of their own, linked with
     each other if their vectors are; null vec_ids take part, but name a component only where it has no other.
     """
     spark = vectors.sparkSession
@@ -218,43 +296,21 @@ def embedding_links(vectors: DataFrame, *, threshold: float = THRESHOLD) -> Data
     classes = cut(
         keyed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("rep"), F.first("embedding").alias("vector")), "cover-classes"
     )
-    sampled: dict[int, list] = {}
-    for (v,) in bounded(classes, "node", SAMPLE, 23).select("vector").toLocalIterator():
-        sampled.setdefault(len(v), []).append(v)
-    pivots = {dim: (u := unit(np.array(v)))[net(u, PIVOTS)] for dim, v in sampled.items()}
     kind = classes.schema["vector"].dataType.simpleString()
-    cells = cut(
-        classes.select("node", "copies", "vector").mapInArrow(_assign(pivots), f"node long, copies long, vector {kind}, dim int, cell int, dist double"), "cover-cells"
-    )
-    # One row for each cell: at most PIVOTS for each length of vectors.
-    sizes = cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).withColumn("pieces", F.ceil(F.col("n") / CHUNK).cast("int"))
-    near = []
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    known = sizes.collect() if sampled else []
-    for a in known:
-        for b in known:
-            if a["dim"] == b["dim"] and a["cell"] <= b["cell"]:
-                centres = pivots.get(a["dim"], np.eye(1, a["dim"]))
-                if _chord(centres[a["cell"]] @ centres[b["cell"]]) <= a["r"] + b["r"] + reach:
-                    near.append((a["dim"], a["cell"], b["cell"], a["pieces"], b["pieces"]))
-    pieces = spark.createDataFrame([(r["dim"], r["cell"], r["pieces"]) for r in known], "dim int, cell int, pieces int")
-    chunk = lambda cell, k: F.xxhash64("dim", cell, k)
-    placed = cells.join(F.broadcast(pieces), ["dim", "cell"]).withColumn("chunk", chunk("cell", F.pmod(F.xxhash64("node", F.lit(17)), F.col("pieces")).cast("int")))
+    placed = chunks_of(classes.select("node", "copies", "vector", F.size("vector").alias("dim")))
     trees = cut(
-        placed.select("node", "chunk", "copies", "vector").groupBy("chunk").applyInArrow(_grow, f"node long, chunk long, copies long, vector {kind}, path array<int>"), "cover-trees"
-    )
-    drop(cells)
-    pairs = (
-        spark.createDataFrame(near, "dim int, a int, b int, na int, nb int")
-        .select("dim", "a", "b", "nb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"))
-        .select("dim", "a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-        .where("a < b or i < j")
-        .select(chunk("a", F.col("i")).alias("x"), chunk("b", F.col("j")).alias("y"))
-        .select(F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2"))
+        placed.groupBy("chunk").applyInArrow(_grow, f"node long, dim int, chunk long, copies long, vector {kind}, path array<int>, reach double"), "cover-trees"
     )
+    nodes = trees.where("reach is not null").select("node", "dim", F.col("chunk").alias("owner"), "vector", "reach", F.lit(1).alias("one"))
+    blocks = cut(deal(nodes, ["dim"], [("one", NODES)]).drop("one"), "cover-nodes")
+    known = blocks.select("dim", "chunk").distinct()
+    both = known.select("dim", F.col("chunk").alias("c1")).join(known.select("dim", F.col("chunk").alias("c2")), "dim").where("c1 < c2").select("c1", "c2")
+    work = with_units(known.select("chunk"), both).join(blocks, "chunk").select("unit", "side", "owner", "vector", "reach")
+    pairs = cut(work.groupBy("unit").applyInArrow(_meeting(threshold), "c1 long, c2 long").distinct(), "cover-pairs")
+    drop(blocks)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = with_units(trees.select("chunk").distinct(), pairs)
-    work = units.join(trees, "chunk").drop("chunk").repartition(tasks, "unit")
+    work = units.join(trees, "chunk").drop("chunk", "dim", "reach").repartition(tasks, "unit")
     linked = cut(work.groupBy("unit").applyInArrow(_pairs(threshold), LINKED), "cover-linked")
     drop(trees)
     roots = connected_components(linked.select(F.col("node").alias("a"), F.col("other").alias("b")), "cover")

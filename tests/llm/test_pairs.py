@@ -155,10 +155,11 @@ def test_line_dedup_plan_has_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize(("chunk", "pivots"), [(4096, 64), (16, 64), (16, 1)])
-def test_embeddings(spark, monkeypatch, chunk, pivots):
+@pytest.mark.parametrize(("chunk", "pivots", "nodes"), [(4096, 64, 2048), (16, 64, 7), (16, 2, 2048)])
+def test_embeddings(spark, monkeypatch, chunk, pivots, nodes):
     monkeypatch.setattr(embedding, "CHUNK", chunk)
     monkeypatch.setattr(embedding, "PIVOTS", pivots)
+    monkeypatch.setattr(embedding, "NODES", nodes)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(4, 6))
     v = [(c + 0.15 * rng.normal(size=6)).tolist() for c in centres[rng.integers(0, 4, 60)]] + rng.normal(size=(30, 6)).tolist()
