@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators.position import with_pos
 
@@ -63,50 +66,76 @@ def fold_until(
     """A stateful fold: items are gathered in order until their sizes reach the threshold; then the gathered items go out as
     one row, and the state is empty again. What is left at the end is flushed, unless drop_last.
 
-    One row for each output: group columns, fold_id, n, total, last (the order key of its last item). The fold is serial
-    within a group by nature; `within` makes it parallel over groups such as epochs.
+    One row for each output: group columns, fold_id, n, total, last (the order key of its last item, a whole number). Null sizes count
+    as 0. The fold is serial within a group by nature; `within` makes it parallel over groups such as epochs. Groups are
+    streamed in order, and what is kept of one is its state: two numbers, whatever its size.
     """
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    zero = F.expr("named_struct('out', cast(array() as array<struct<n:bigint,total:bigint,last:bigint>>), 'n', 0L, 't', 0L, 'last', cast(null as bigint))")
-
-    def merge(acc: Column, x: Column) -> Column:
-        n, t = acc["n"] + 1, acc["t"] + x["s"]
-        done = F.struct(n.alias("n"), t.alias("total"), x["o"].cast("long").alias("last"))
-        full = t >= threshold
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(done))).otherwise(acc["out"]).alias("out"),
-            F.when(full, F.lit(0).cast("long")).otherwise(n).alias("n"),
-            F.when(full, F.lit(0).cast("long")).otherwise(t).alias("t"),
-            x["o"].cast("long").alias("last"),
-        )
-
-    def finish(acc: Column) -> Column:
-        if drop_last:
-            return acc["out"]
-        rest = F.struct(acc["n"].alias("n"), acc["t"].alias("total"), acc["last"].alias("last"))
-        return F.when(acc["n"] > 0, F.concat(acc["out"], F.array(rest))).otherwise(acc["out"])
-
-    grouped = df.groupBy(*within).agg(arr.alias("arr"))
-    folded = grouped.select(*within, F.posexplode(F.aggregate("arr", zero, merge, finish)).alias("fold_id", "x"))
-    return folded.select(*within, F.col("fold_id").cast("long").alias("fold_id"), "x.n", "x.total", "x.last")
-
-
-def fold_python(df: DataFrame, make, order: str, schema: str, within: Sequence[str]):
+    kinds = [df.schema[c] for c in within]
+    keys = [F.col(c) for c in within]
+    rows = df.select(*keys, F.col(order).cast("long").alias("_o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_s"))
+    rows = rows.repartition(*within) if within else rows.coalesce(1)
+    rows = rows.sortWithinPartitions(*within, "_o")
+    schema = StructType([*kinds, *(StructField(c, LongType()) for c in ("fold_id", "n", "total", "last"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fold, n, total, last = None, 0, 0, 0, None
+        for batch in batches:
+            groups = list(zip(*(batch.column(i).to_pylist() for i in range(len(kinds))))) if kinds else [()] * batch.num_rows
+            out: list[tuple] = []
+            for group, o, s in zip(groups, batch.column(len(kinds)).to_pylist(), batch.column(len(kinds) + 1).to_pylist(), strict=True):
+                if group != key:
+                    if n and not drop_last:
+                        out.append((*key, fold, n, total, last))
+                    key, fold, n, total = group, 0, 0, 0
+                n, total, last = n + 1, total + s, o
+                if total >= threshold:
+                    out.append((*key, fold, n, total, last))
+                    fold, n, total = fold + 1, 0, 0
+            yield _record(out, batch, len(kinds))
+        if n and not drop_last:
+            yield _record([(*key, fold, n, total, last)], batch, len(kinds))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _record(rows: list[tuple], like: pa.RecordBatch, keys: int) -> pa.RecordBatch:
+    kinds = [like.schema.field(i).type for i in range(keys)] + [pa.int64()] * 4
+    names = [like.schema.field(i).name for i in range(keys)] + ["fold_id", "n", "total", "last"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+
+def fold_python(df: DataFrame, make, order: str, schema: str, within: Sequence[str], number: str | None = None):
     """A custom fold: make() gives an object with accumulate(row dict) and flush(), each returning a dict or None. Groups run
-    in parallel, each in order; an exception fails the query, as an aggregator's failure fails a pipeline."""
-
-    def run(pdf):
-        import pandas as pd
-
-        state, out = make(), []
-        for row in pdf.sort_values(order).to_dict("records"):
-            if (r := state.accumulate(row)) is not None:
-                out.append(r)
-        if (r := state.flush()) is not None:
-            out.append(r)
-        return pd.DataFrame(out, columns=[f.name for f in kinds.fields])
-
-    from pyspark.sql.types import StructType
-
+    in parallel, each in order, streamed: only the object's state is kept. `number` names a column for the place of an output
+    in its group; columns of `within` that the schema names are filled in. An exception fails the query, as an aggregator's
+    failure fails a pipeline."""
     kinds = StructType.fromDDL(schema)
-    return df.groupBy(*within).applyInPandas(run, schema)
+    arrow = to_arrow_schema(kinds)
+    named = [c for c in within if c in kinds.fieldNames()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, k, out = None, None, 0, []
+
+        def put(r: dict | None) -> None:
+            nonlocal k
+            if r is not None:
+                out.append({c: key[within.index(c)] for c in named} | ({number: k} if number else {}) | r)
+                k += 1
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                group = tuple(row[c] for c in within)
+                if state is None or group != key:
+                    if state is not None:
+                        put(state.flush())
+                    key, state, k = group, make(), 0
+                put(state.accumulate(row))
+            yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+            out.clear()
+        if state is not None:
+            put(state.flush())
+            yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+
+    within = list(within)
+    rows = df.repartition(*within) if within else df.coalesce(1)
+    return rows.sortWithinPartitions(*within, order).mapInArrow(run, kinds)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators.position import with_pos
 
+PICKS = 10_000  # picks of a weighted merge in a batch
+
 
 def bag(sources: Sequence[DataFrame]) -> DataFrame:
     """All items of all sources; no order is promised and nothing is deduplicated."""
@@ -46,14 +49,11 @@ def round_robin(sources: Sequence[DataFrame], orders: Sequence[Sequence[str]], s
     return out.where(F.col("pos") < stop_after) if stop_after > 0 else out
 
 
-def picks(weights: Sequence[float], n: int, seed: int) -> list[int]:
-    """The sources picked first: blocks of 100 weighted choices of a seeded generator; they don't depend on the data."""
+def picks(weights: Sequence[float], seed: int) -> Iterator[int]:
+    """The sources picked, one after the other: blocks of 100 weighted choices of a seeded generator; they don't depend on the data."""
     rng = random.Random(seed)
-    numbers = list(range(len(weights)))
-    out: list[int] = []
-    while len(out) < n:
-        out.extend(rng.choices(numbers, weights=weights, k=100))
-    return out[:n]
+    while True:
+        yield from rng.choices(range(len(weights)), weights=weights, k=100)
 
 
 def weighted(
@@ -63,39 +63,40 @@ def weighted(
     *,
     stop_after: int = 0,
     seed: int = 0,
-    most: int = 1_000_000,
 ) -> DataFrame:
     """Items in the order of weighted picks. Sources of weight 0 are left out first. Item j of a source comes at the
     (j + 1)-th pick of it; picks of exhausted sources give nothing. stop_after as for round_robin.
 
-    The table of picks is drawn on the driver; `most` bounds it, and a merge that needs more picks raises.
+    The generator is serial, so one task draws the table of picks, PICKS at a time, as a stream: it holds no list of them, and the
+    driver sees none.
     """
     if len(weights) != len(sources) or any(w < 0 for w in weights) or not any(weights):
         raise ValueError("each source needs a weight, none negative and not all 0")
     chosen = [i for i, w in enumerate(weights) if w]
     sources, orders, weights = [sources[i] for i in chosen], [orders[i] for i in chosen], [weights[i] for i in chosen]
-    spark = sources[0].sparkSession
     lengths = [s.count() for s in sources]
     target = sum(lengths) if stop_after <= 0 else min(stop_after, sum(lengths))
-    taken, table, drawn = [0] * len(sources), [], 0
-    while len(table) < target:
-        if drawn >= most:
-            raise ValueError(f"the merge needs more than {most} picks")
-        drawn = min(most, max(200, drawn * 2))
-        taken, table, stopped = [0] * len(sources), [], False
-        for p in picks(weights, drawn, seed):
-            if taken[p] >= lengths[p]:
-                if stop_after < 0:
-                    stopped = True
+
+    def draw(_) -> Iterator[pa.RecordBatch]:
+        taken, chosen = [0] * len(lengths), picks(weights, seed)
+        done, over = 0, not target
+        while not over:
+            source, place = [], []
+            while len(source) < PICKS:
+                p = next(chosen)
+                if taken[p] < lengths[p]:
+                    source.append(p)
+                    place.append(taken[p])
+                    taken[p] += 1
+                elif stop_after < 0:
+                    over = True
+                if over := over or done + len(source) == target:
                     break
-                continue
-            table.append((len(table), p, taken[p]))
-            taken[p] += 1
-            if len(table) == target:
-                break
-        if stopped:
-            break
-    order = spark.createDataFrame(table, "pos long, src int, k long")
+            columns = [pa.array(range(done, done + len(source)), pa.int64()), pa.array(source, pa.int32()), pa.array(place, pa.int64())]
+            done += len(source)
+            yield pa.RecordBatch.from_arrays(columns, names=["pos", "src", "k"])
+
+    order = sources[0].sparkSession.range(0, 1, 1, 1).mapInArrow(draw, "pos long, src int, k long")
     return placed(sources, orders).join(order, ["src", "k"])
 
 

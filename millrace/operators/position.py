@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+SAMPLED = 50  # keys looked at for each bound between ranges
 
 
-def _rank(df: DataFrame, key: str) -> Column | None:
-    """The first key as a double, by which rows can be dealt into ranges; None where it has no number."""
-    kind = df.schema[key].dataType
-    if isinstance(kind, _NUMBERS):
-        return F.col(key).cast("double")
-    if isinstance(kind, _TIMES):
-        return F.col(key).cast("timestamp").cast("double")
-    return None
+def _bounds(df: DataFrame, keys: list[str], n: int) -> list:
+    """n - 1 or fewer rows of keys, in order, between which about equal numbers of rows lie. A bounded sample, drawn by hash."""
+    drawn = df.select(*keys).withColumn("_h", F.xxhash64(*keys)).orderBy("_h").limit(SAMPLED * n).drop("_h")
+    rows = drawn.distinct().orderBy(*keys).collect()
+    return [rows[i * len(rows) // n] for i in range(1, n)] if len(rows) >= n else rows[1:]
 
 
 def with_pos(
@@ -30,25 +26,26 @@ def with_pos(
 ) -> DataFrame:
     """df with the 0-based position of each row in the order of keys, nulls first.
 
-    Within groups it is a window by group. Over the whole table, rows are dealt into ranges of the first key with about
-    equal counts, numbered inside their range, and shifted by the counts of the ranges before: no task sorts the
-    whole table. The bounds are literals, so the result doesn't depend on how the work was scheduled. Rows tied in the
-    first key share a range; a first key without numeric order falls back to a single sorted partition.
+    Within groups it is a window by group. Over the whole table, rows are dealt into ranges of all keys together, of whatever types,
+    numbered inside their range, and shifted by the counts of the ranges before: no task sorts the whole table. The
+    bounds are literals, so the result doesn't depend on how the work was scheduled; only rows equal in every key, whose order
+    is open, can't be split.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if within:
         w = Window.partitionBy(*within).orderBy(*keys)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    rank = _rank(df, keys[0])
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if rank is None or n < 2:
+    bounds = _bounds(df, keys, n) if n > 1 else []
+    if not bounds:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
-    shares = [k / n for k in range(1, n)]
-    bounds = df.select(F.percentile_approx(rank, shares, 100 * n)).first()[0] or []
-    bounds = sorted(set(bounds))
-    low = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    # A row's range: how many bounds are not above its key. Nulls are in the first range.
-    at = F.when(rank.isNull(), F.lit(0)).otherwise(F.size(F.filter(low, lambda b: b <= rank)))
+
+    def literal(row) -> Column:
+        return F.struct(*[F.lit(row[i]).cast(df.schema[k].dataType).alias(f"k{i}") for i, k in enumerate(keys)])
+
+    own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    # A row's range: how many bounds are not above its keys. Structs compare key by key, nulls first, as rows are sorted.
+    at = F.size(F.filter(F.array(*[literal(b) for b in bounds]), lambda b: b <= own))
     dealt = df.withColumn("_range", at)
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql.types import StructType
 
-from millrace.operators import batch, core, failure, merge, route
+from millrace.operators import batch, core, failure, functions, merge, route
+from millrace.operators.position import with_pos
 from millrace.plans import spec
 
 
@@ -17,6 +20,8 @@ def _source(s: spec.Source | spec.MergeSource) -> tuple[DataFrame, tuple[str, ..
     compiled = [_stages(p) for p in s.pipelines]
     frames, orders = [c[0] for c in compiled], [c[1] for c in compiled]
     epoch = compiled[0][2]
+    if callable(s.strategy):
+        return s.strategy(frames, orders), ("pos",), epoch
     if s.strategy == "bag":
         tagged = [f.withColumn("src", F.lit(i)) for i, f in enumerate(frames)]
         return merge.bag(tagged), ("src", *orders[0]), epoch
@@ -29,18 +34,70 @@ def _source(s: spec.Source | spec.MergeSource) -> tuple[DataFrame, tuple[str, ..
     return out, ("pos",), epoch
 
 
-def _apply(df: DataFrame, order: tuple[str, ...], epoch: str | None, workers: int, stage: spec.Stage, limit) -> tuple[DataFrame, tuple[str, ...]]:
+class _Run:
+    """What the stages of one pipeline share while it is compiled: the limit of failures and its counters."""
+
+    def __init__(self, limit: int | Fraction, on_breach: str, counted: bool):
+        self.limit, self.on_breach = limit, on_breach
+        self.counted = counted and not (isinstance(limit, int) and limit < 0)
+        self.before: DataFrame | None = None  # counters after the stages so far, one row
+
+    def share(self, df: DataFrame, calls: Column, failed: Column, order: tuple[str, ...]) -> DataFrame:
+        out, self.before = failure.shared(df, calls, failed, order, self.limit, before=self.before, on_breach=self.on_breach)
+        return out
+
+    def alone(self, df: DataFrame, calls: Column, failed: Column, order: tuple[str, ...], limit: int | Fraction) -> DataFrame:
+        if isinstance(limit, int) and limit < 0:
+            return df.where(~F.coalesce(failed, F.lit(True)))
+        return failure.shared(df, calls, failed, order, limit, on_breach=self.on_breach)[0]
+
+
+def _pipes(df: DataFrame, order: tuple[str, ...], run: _Run, stages: list[spec.Pipe]) -> DataFrame:
+    """Pipes in a row that count together. Items that fail, or are dropped, are marked, so that each has its number of invocations."""
+    df = df.withColumns({"_alive": F.lit(True), "_tried": F.lit(0).cast("long"), "_bad": F.lit(False)})
+    for stage in stages:
+        failed = F.col("_alive") & (F.lit(False) if stage.failed is None else F.coalesce(stage.failed, F.lit(True)))
+        df = df.withColumns({"_tried": F.col("_tried") + F.col("_alive").cast("long"), "_now": failed})
+        df = df.withColumns({"_bad": F.col("_bad") | F.col("_now"), "_alive": F.col("_alive") & ~F.col("_now")})
+        df = df.withColumns({k: F.when(F.col("_alive"), v) for k, v in stage.results.items()})
+        df = df.withColumn("_alive", reduce(lambda a, k: a & F.col(k).isNotNull(), stage.results, F.col("_alive")))
+    return run.share(df, F.col("_tried"), F.col("_bad"), order).where("_alive").drop("_alive", "_tried", "_bad", "_now")
+
+
+def _call(df: DataFrame, order: tuple[str, ...], run: _Run, stage: spec.Call) -> tuple[DataFrame, tuple[str, ...]]:
+    index = f"{stage.name}_index"
+    out = functions.mapped(df, stage.fn, stage.results, item=stage.item, index=index, concurrency=stage.concurrency)
+    if index in out.columns:
+        order = (*order, index)
+    bad = F.col("_error").isNotNull()
+    names = [f.name for f in StructType.fromDDL(stage.results).fields]
+    if stage.max_failures is not None:
+        out = run.alone(out, F.col("_calls"), bad, order, stage.max_failures)
+    else:
+        out = run.share(out, F.col("_calls"), bad, order) if run.counted else out.where(~bad)
+    return core.emit(out, *names).drop(*({"_error", "_calls"} & set(out.columns))), order
+
+
+def _batched(df: DataFrame, order: tuple[str, ...], run: _Run, stage: spec.PathVariants) -> DataFrame:
+    parts = df.select(*order, F.posexplode("items").alias("_place", "item"))
+    parts = parts.withColumn("_route", route.checked(stage.router, len(stage.paths)))
+    outs = []
+    for i, path in enumerate(stage.paths):
+        out = _through(parts.where(F.col("_route") == i), (*order, "_place"), None, 1, path, run)[0]
+        outs.append(out.select(*order, "_route", "_place", "item"))
+    both = reduce(lambda a, b: a.unionByName(b), outs)
+    items = F.array_sort(F.collect_list(F.struct("_route", "_place", "item")))  # a batch
+    return both.groupBy(*order).agg(F.count(F.lit(1)).alias("n"), F.transform(items, lambda x: x["item"]).alias("items"))
+
+
+def _apply(df: DataFrame, order: tuple[str, ...], epoch: str | None, workers: int, stage: spec.Stage, run: _Run) -> tuple[DataFrame, tuple[str, ...]]:
     within = [epoch] if epoch else []
     if isinstance(stage, spec.Pipe):
         if stage.failed is not None:
-            own = limit if stage.max_failures is None else stage.max_failures
-            if isinstance(own, int) and own < 0:
-                df = df.where(~F.coalesce(stage.failed, F.lit(True)))
-            else:
-                df = failure.limited(df, stage.failed, list(order), own).drop("pos", "failed", "n", "failures")
-        if stage.concurrency > 1:
-            df = df.repartition(stage.concurrency)
+            df = run.alone(df, F.lit(1), stage.failed, order, -1 if stage.max_failures is None else stage.max_failures)
         return core.pipe(df, stage.results), order
+    if isinstance(stage, spec.Call):
+        return _call(df, order, run, stage)
     if isinstance(stage, spec.Generate):
         return core.flat_map(df, stage.items, stage.name, f"{stage.name}_index"), (*order, f"{stage.name}_index")
     if isinstance(stage, spec.Lookup):
@@ -50,29 +107,49 @@ def _apply(df: DataFrame, order: tuple[str, ...], epoch: str | None, workers: in
         return out, (*within, *(["worker"] if workers > 1 else []), "batch_id")
     if isinstance(stage, spec.Fold):
         return batch.fold_until(df, order[-1], stage.size, stage.threshold, within=within, drop_last=stage.drop_last), (*within, "fold_id")
+    if isinstance(stage, spec.CustomFold):
+        placed = with_pos(df, list(order), "_pos", within=within).withColumn("worker", F.pmod(F.col("_pos"), F.lit(workers)))
+        kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in within]
+        out = batch.fold_python(placed, stage.make, "_pos", ", ".join([*kinds, "worker long", f"{stage.name}_id long", stage.results]), [*within, "worker"], f"{stage.name}_id")
+        return out, (*within, "worker", f"{stage.name}_id")
     if isinstance(stage, spec.Disaggregate):
         out = df.select("*", F.posexplode("items").alias(f"{stage.name}_index", stage.name)).drop("items")
         return core.emit(out, stage.name), (*order, f"{stage.name}_index")
     if isinstance(stage, spec.PathVariants):
+        if stage.batched:
+            return _batched(df, order, run, stage), order
         routed = df.withColumn("route", route.checked(stage.router, len(stage.paths)))
-        outs = []
-        for i, path in enumerate(stage.paths):
-            part, at = routed.where(F.col("route") == i), order
-            for s in path:
-                part, at = _apply(part, at, epoch, workers, s, limit)
-            outs.append((part, at))
+        outs = [_through(routed.where(F.col("route") == i), order, epoch, workers, path, run) for i, path in enumerate(stage.paths)]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [o[0] for o in outs]), outs[0][1]
     raise ValueError(f"not a stage: {stage!r}")
 
 
-def _stages(p: spec.Pipeline) -> tuple[DataFrame, tuple[str, ...], str | None]:
-    df, order, epoch = _source(p.source)
-    workers = 1
-    for stage in p.stages:
+def _through(df: DataFrame, order: tuple[str, ...], epoch: str | None, workers: int, stages, run: _Run) -> tuple[DataFrame, tuple[str, ...]]:
+    """df after these stages, and its order."""
+    waiting: list[spec.Pipe] = []
+    for stage in [*stages, None]:
+        if run.counted and isinstance(stage, spec.Pipe) and stage.max_failures is None:
+            waiting.append(stage)
+            continue
+        if waiting:
+            df, waiting = _pipes(df, order, run, waiting), []
         if isinstance(stage, spec.To):
             workers = 1 if stage.target == spec.MAIN else stage.target
-            continue
-        df, order = _apply(df, order, epoch, workers, stage, p.max_failures)
+        elif stage is not None:
+            df, order = _apply(df, order, epoch, workers, stage, run)
+    return df, order
+
+
+def _can_fail(stages) -> bool:
+    return any(
+        isinstance(s, spec.Call) and s.max_failures is None or isinstance(s, spec.Pipe) and s.failed is not None and s.max_failures is None
+        or isinstance(s, spec.PathVariants) and any(map(_can_fail, s.paths)) for s in stages
+    )
+
+
+def _stages(p: spec.Pipeline) -> tuple[DataFrame, tuple[str, ...], str | None]:
+    df, order, epoch = _source(p.source)
+    df, order = _through(df, order, epoch, 1, p.stages, _Run(p.max_failures, p.on_breach, _can_fail(p.stages)))
     return df, order, epoch
 
 
@@ -92,4 +169,9 @@ def iterate(p: spec.Pipeline, epoch=None) -> Iterator[Row]:
         raise ValueError("a continuous pipeline is iterated by epoch, and only such a one")
     if epoch is not None:
         df = df.where(F.col(column) == epoch)
-    yield from df.orderBy(*order).toLocalIterator(prefetchPartitions=True)
+    try:
+        yield from df.orderBy(*order).toLocalIterator(prefetchPartitions=True)
+    except Exception as e:
+        if failure.BREACHED in str(e):
+            raise failure.PipelineFailure(str(e).split("\n")[0]) from e
+        raise

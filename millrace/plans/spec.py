@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 
+from millrace.operators.functions import kind_of
+
 MAIN = "main"  # a placement: back to the main process
 
 
@@ -28,10 +30,11 @@ class Source:
 
 @dataclass(frozen=True)
 class MergeSource:
-    """Several pipelines as one source. strategy: 'bag' (by arrival), 'concat', 'round_robin' or 'weighted'."""
+    """Several pipelines as one source. strategy: 'bag' (by arrival), 'concat', 'round_robin', 'weighted', or a function of the
+    pipelines' DataFrames and their orders that gives a DataFrame with a column pos, its order."""
 
     pipelines: tuple[Pipeline, ...]
-    strategy: str = "bag"
+    strategy: str | Callable[[list[DataFrame], list[tuple[str, ...]]], DataFrame] = "bag"
     stop_after: int = 0
     weights: tuple[float, ...] | None = None
     seed: int = 0
@@ -39,7 +42,7 @@ class MergeSource:
     def __post_init__(self):
         if not self.pipelines:
             raise ValueError("there is nothing to merge")
-        if self.strategy not in ("bag", "concat", "round_robin", "weighted"):
+        if not callable(self.strategy) and self.strategy not in ("bag", "concat", "round_robin", "weighted"):
             raise ValueError(f"unknown strategy: {self.strategy}")
         if (self.strategy == "weighted") != (self.weights is not None):
             raise ValueError("weights go with the weighted strategy")
@@ -59,8 +62,9 @@ def _positive(n: int, what: str) -> None:
 @dataclass(frozen=True)
 class Pipe(Stage):
     """Map and filter: named results as Columns of the row; a null result drops the item. ordered: the output keeps the
-    input's order as data; else none is promised. concurrency asks for a number of partitions. A failing item is one for
-    which `failed` is true; it is dropped and counted against max_failures (the pipeline's if None)."""
+    input's order as data; else none is promised. concurrency is a limit that Column expressions, which run as their
+    partitions do, don't need. A failing item is one for which `failed` is true; it is dropped and counted against max_failures, of
+    the stage alone; if that is None, by the counters that all stages without a limit of their own share."""
 
     results: Mapping[str, Column] = field(hash=False)
     ordered: bool = False
@@ -88,6 +92,35 @@ class Generate(Stage):
             raise ValueError("a generator can't keep its input's order")
 
 
+@dataclass(frozen=True)
+class Call(Stage):
+    """A Python function, plain, generator or async, or an object that is indexed: see operators.functions.mapped. results is a DDL
+    string. Items it fails on are dropped and counted like a Pipe's; None drops the item."""
+
+    fn: Callable = field(hash=False)
+    results: str
+    item: str | None = None
+    ordered: bool = False
+    concurrency: int = 1
+    max_failures: int | Fraction | None = None
+    name: str = "call"
+
+    def __post_init__(self):
+        _positive(self.concurrency, "concurrency")
+        if self.ordered and kind_of(self.fn) == "async generator":
+            raise ValueError("an async generator can't keep its input's order")
+
+
+@dataclass(frozen=True)
+class CustomFold(Stage):
+    """A fold by an object of make(), with accumulate(row) and flush(): see operators.batch.fold_python. One for each epoch, or for
+    each worker of a region."""
+
+    make: Callable = field(hash=False)
+    results: str
+    name: str = "fold"
+
+
 @dataclass(frozen=True)
 class Lookup(Stage):
     """Replaces a key by its value in a table; a missing key drops the item."""
@@ -131,10 +164,14 @@ class Disaggregate(Stage):
 
 @dataclass(frozen=True)
 class PathVariants(Stage):
-    """Routes each item by a computed index through one of several lists of stages; the outputs are united."""
+    """Routes each item by a computed index through one of several lists of stages; the outputs are united.
+
+    batched: the input is batches; their elements, as column `item`, are routed each, and a batch's results stand together again, in order
+    of path, then of place. A batch of which nothing is left vanishes. Paths then hold Pipes and Calls that set `item`."""
 
     router: Column
     paths: tuple[tuple[Stage, ...], ...]
+    batched: bool = False
 
     def __post_init__(self):
         if not self.paths or any(not p for p in self.paths):
@@ -142,6 +179,8 @@ class PathVariants(Stage):
         for p in self.paths:
             if any(not isinstance(s, Stage) or isinstance(s, To) for s in p):
                 raise ValueError("a path holds stages only")
+            if self.batched and any(not isinstance(s, (Pipe, Call)) for s in p):
+                raise ValueError("a batched path holds pipes and calls only")
 
 
 @dataclass(frozen=True)
@@ -170,6 +209,7 @@ class Pipeline:
     stages: tuple[Stage, ...] = ()
     sink: Sink = Sink()
     max_failures: int | Fraction = -1
+    on_breach: str = "raise"
 
     def __post_init__(self):
         open_, inside = False, 0
@@ -227,8 +267,14 @@ class Builder:
     def disaggregate(self, name: str = "item") -> Builder:
         return self.add(Disaggregate(name))
 
-    def path_variants(self, router: Column, paths: Sequence[Sequence[Stage]]) -> Builder:
-        return self.add(PathVariants(router, tuple(tuple(p) for p in paths)))
+    def call(self, fn: Callable, results: str, **options) -> Builder:
+        return self.add(Call(fn, results, **options))
+
+    def fold(self, make: Callable, results: str) -> Builder:
+        return self.add(CustomFold(make, results))
+
+    def path_variants(self, router: Column, paths: Sequence[Sequence[Stage]], *, batched: bool = False) -> Builder:
+        return self.add(PathVariants(router, tuple(tuple(p) for p in paths), batched))
 
     def to(self, target: int | str) -> Builder:
         return self.add(To(target))
@@ -239,9 +285,9 @@ class Builder:
         self._sink = Sink(buffer_size)
         return self
 
-    def build(self, *, max_failures: int | Fraction = -1) -> Pipeline:
+    def build(self, *, max_failures: int | Fraction = -1, on_breach: str = "raise") -> Pipeline:
         if self._source is None:
             raise ValueError("a pipeline needs a source")
-        return Pipeline(self._source, tuple(self._stages), self._sink or Sink(), max_failures)
+        return Pipeline(self._source, tuple(self._stages), self._sink or Sink(), max_failures, on_breach)
 
 

@@ -94,29 +94,25 @@ def test_round_robin(numbers, sources, stop, want):
     assert column(merge.round_robin([numbers(s) if s else numbers([0]).limit(0) for s in sources], [["ord"]] * len(sources), stop), "v", "pos") == want
 
 
-def _weighted_loop(lists, weights, stop, seed):
-    rng, its, out = random.Random(seed), [iter(x) for x in lists], []
-    live = [True] * len(lists)
-    while any(live):
-        for i in rng.choices(range(len(lists)), weights=weights, k=100):
-            x = next(its[i], None)
-            if x is None:
-                live[i] = False
-                if stop < 0:
-                    return out
-                continue
-            out.append(x)
-            if 0 < stop <= len(out):
-                return out
-    return out
+@pytest.mark.parametrize(("seed", "stop", "want"), [
+    (0, 0, [10, 11, 0, 20, 1, 2, 21, 22, 3]),
+    (0, -1, [10, 11]),
+    (0, 4, [10, 11, 0, 20]),
+    (3, 0, [0, 10, 11, 1, 2, 3, 20, 21, 22]),
+    (3, -1, [0, 10, 11]),
+    (3, 4, [0, 10, 11, 1]),
+])
+def test_weighted_merge_of_fixed_seeds(numbers, seed, stop, want):
+    got = merge.weighted([numbers([0, 1, 2, 3]), numbers([10, 11]), numbers([20, 21, 22])], [["ord"]] * 3, [1.0, 2.0, 0.5], stop_after=stop, seed=seed)
+    assert column(got, "v", "pos") == want
 
 
-@pytest.mark.parametrize("stop", [0, -1, 4])
-@pytest.mark.parametrize("seed", [0, 3])
-def test_weighted_merge_against_a_loop(numbers, stop, seed):
-    lists, weights = [[0, 1, 2, 3], [10, 11], [20, 21, 22]], [1.0, 2.0, 0.5]
-    got = column(merge.weighted([numbers(x) for x in lists], [["ord"]] * 3, weights, stop_after=stop, seed=seed), "v", "pos")
-    assert got == _weighted_loop(lists, weights, stop, seed)
+def test_weighted_merge_of_long_sources(spark):
+    """Each source in its own order, picked about as often as its weight says; more picks than one batch holds."""
+    a, b = spark.range(30_000).withColumnRenamed("id", "v"), spark.range(100_000, 160_000).withColumnRenamed("id", "v")
+    got = [r.v for r in merge.weighted([a, b], [["v"], ["v"]], [1.0, 3.0], seed=5).orderBy("pos").select("v").collect()]
+    assert len(got) == 90_000 and [v for v in got if v < 100_000] == list(range(30_000)) and [v for v in got if v >= 100_000] == list(range(100_000, 160_000))
+    assert 0.23 < sum(v < 100_000 for v in got[:40_000]) / 40_000 < 0.27
 
 
 def test_weights(numbers):
@@ -221,3 +217,28 @@ def test_failure_rates_wait_for_100_items(spark):
     assert failure.limited(df, F.col("bad"), ["ord"], -1).count() == 170
     with pytest.raises(ValueError):
         failure.limited(df, F.col("bad"), ["ord"], Fraction(3, 2))
+
+
+def test_positions_of_any_keys(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["", "a", "ab", "é", None, "zz"]), rng.choice([None, 1.5, -2.0]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "s string, x double, i long").repartition(7)
+    got = [(r.s, r.x, r.i) for r in with_pos(df, ["s", "x", "i"], ranges=8).orderBy("pos").collect()]
+    low = lambda v: (v is not None, v if v is not None else "")
+    assert got == sorted(rows, key=lambda r: (low(r[0]), (r[1] is not None, r[1] or 0), r[2]))
+    assert with_pos(df.limit(0), ["s"]).count() == 0
+    assert sorted(r.pos for r in with_pos(df, ["s"], ranges=8).collect()) == list(range(400))
+
+
+def test_fold_of_a_table_larger_than_a_batch(spark):
+    df = spark.range(50_000).selectExpr("id as ord", "id % 7 as size").repartition(5)
+    want, n, total = [], 0, 0
+    for i in range(50_000):
+        n, total = n + 1, total + i % 7
+        if total >= 100:
+            want.append((len(want), n, total, i))
+            n = total = 0
+    if n:
+        want.append((len(want), n, total, 49_999))
+    assert [tuple(r) for r in batch.fold_until(df, "ord", "size", 100).orderBy("fold_id").collect()] == want
+    assert batch.fold_until(df.limit(0), "ord", "size", 100).count() == 0

@@ -1,9 +1,11 @@
 """Specs, their compiler, loaders and streams."""
 
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import merge
+from millrace.operators import functions, merge
 from millrace.plans import compile as plans, loaders, spec
 from millrace.streaming import epochs
 
@@ -88,3 +90,94 @@ def test_keyed_fold_over_a_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("folded").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     q.awaitTermination(120)
     assert [(r.k, r.n, r.total) for r in spark.table("folded").collect()] == [("a", 2, 11)]
+
+
+def test_stages_share_the_pipelines_counters(numbers):
+    def build(**options):
+        b = spec.Builder().add_source(numbers(range(20)), ["ord"]).pipe({"a": F.col("v") + 1}, failed=F.col("v") % 4 == 0)
+        return b.pipe({"b": F.col("a") * 2}, failed=F.col("v") % 10 == 3).build(**options)
+
+    assert [r["v"] for r in plans.iterate(build(max_failures=7))] == [v for v in range(20) if v % 4 and v % 10 != 3]  # 5 and 2 failures
+    with pytest.raises(RuntimeError):
+        list(plans.iterate(build(max_failures=4)))
+    # Failures at 0, 3, 4, 8, 12: the fifth one is the breach.
+    assert [r["v"] for r in plans.iterate(build(max_failures=4, on_breach="truncate"))] == [1, 2, 5, 6, 7, 9, 10, 11]
+
+
+def test_a_stage_with_its_own_limit_counts_alone(numbers):
+    b = spec.Builder().add_source(numbers(range(20)), ["ord"]).pipe({"a": F.col("v")}, failed=F.col("v") % 4 == 0, max_failures=5)
+    p = b.pipe({"b": F.col("v")}, failed=F.col("v") == 7).build(max_failures=1)
+    assert [r["v"] for r in plans.iterate(p)] == [v for v in range(20) if v % 4 and v != 7]
+
+
+def test_a_shared_rate_counts_the_invocations_of_all_stages(numbers):
+    stage = {"a": F.col("v")}
+    b = lambda failed: spec.Builder().add_source(numbers(range(120)), ["ord"]).pipe(stage).pipe(stage, failed=failed)
+    # 50 items are 100 invocations: 6 failures of them are over a twentieth, 5 are not.
+    assert len(list(plans.iterate(b(F.col("v") % 10 == 9).build(max_failures=Fraction(1, 20))))) == 108
+    cut = plans.compile_pipeline(b(F.col("v").between(40, 45)).build(max_failures=Fraction(1, 20), on_breach="truncate"))
+    assert cut.count() == 43  # up to item 48, in which invocation 100 falls
+
+
+async def _slow_double(v):
+    return v * 2 if v != 3 else None
+
+
+def _parts(v):
+    yield v
+    if v == 2:
+        raise ValueError("two")
+    yield None
+    yield v * 10
+
+
+@pytest.mark.parametrize(("fn", "want"), [
+    (lambda v: v + 1, [1, 2, 3, 4]), (_slow_double, [0, 2, 4]), (_parts, [0, 0, 1, 10, 2, 3, 30]), ({0: 5, 2: 6}, [5, 6]), ([7, 8], [7, 8]), (lambda v: 6 // v, [6, 3, 2]),
+])
+@pytest.mark.parametrize("concurrency", [1, 3])
+def test_functions_as_stages(numbers, fn, want, concurrency):
+    p = spec.Builder().add_source(numbers(range(4)), ["ord"]).call(fn, "w long", item="v", concurrency=concurrency).build()
+    assert [r["w"] for r in plans.iterate(p)] == want
+
+
+def test_failing_functions_count(numbers):
+    b = lambda n: spec.Builder().add_source(numbers(range(6)), ["ord"]).call(lambda r: {"w": 6 // (r["v"] % 3)}, "w long").build(max_failures=n)
+    assert [r["w"] for r in plans.iterate(b(2))] == [6, 3, 6, 3]
+    with pytest.raises(RuntimeError):
+        list(plans.iterate(b(1)))
+
+
+def test_generators_count_each_invocation(numbers):
+    out = functions.mapped(numbers(range(3)), _parts, "w long", item="v", index="k")
+    assert sorted((r.v, r.c) for r in out.groupBy("v").agg(F.sum("_calls").alias("c")).collect()) == [(0, 4), (1, 4), (2, 2)]
+
+
+def test_routing_inside_batches(numbers):
+    double, drop = [spec.Pipe({"item": F.col("item") * 2})], [spec.Pipe({"item": F.when(F.col("item") > 100, 1)})]
+    b = spec.Builder().add_source(numbers([3, 4, 5, 6, 1, 1, 7]), ["ord"]).aggregate(3, "v")
+    p = b.path_variants(F.when(F.col("item") == 1, 1).otherwise((F.col("item") % 2) * 2), [double, drop, [spec.Call(lambda v: -v, "item long", item="item")]], batched=True).build()
+    assert [r["items"] for r in plans.iterate(p)] == [[8, -3, -5], [12], [-7]]
+    with pytest.raises(ValueError):
+        b.path_variants(F.lit(0), [[spec.Disaggregate()]], batched=True)
+
+
+class Pairs:
+    def __init__(self):
+        self.held = []
+
+    def accumulate(self, row):
+        self.held.append(row["v"])
+        if len(self.held) == 2:
+            out, self.held = {"total": sum(self.held)}, []
+            return out
+
+    def flush(self):
+        return {"total": sum(self.held)} if self.held else None
+
+
+def test_custom_folds_and_merges(numbers):
+    p = spec.Builder().add_source(numbers(range(5)), ["ord"]).fold(Pairs, "total long").build()
+    assert [r["total"] for r in plans.iterate(p)] == [1, 5, 4]
+    parts = tuple(spec.Builder().add_source(numbers(v), ["ord"]).build() for v in ([0, 1], [10]))
+    last_first = lambda frames, orders: merge.concat(frames[::-1], orders[::-1])
+    assert [r["v"] for r in plans.iterate(spec.Builder().add_source(spec.MergeSource(parts, last_first)).build())] == [10, 0, 1]
