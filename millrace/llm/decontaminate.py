@@ -17,10 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from millrace.llm.store import cut
 from millrace.llm.words import as_rows, byte_classes, find_words, slices
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
+WAVE = 8  # blocks in memory at a time
 
 
 class Block:
@@ -238,7 +240,8 @@ def contamination(
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A window is `window` consecutive
     words of an item; an item of fewer words, but not none, is one window. Null and empty texts have no words
     and are clean; an empty benchmark, or one without words, leaves everything clean; repeated items count once
-    by id; repeated documents are each scanned. Words are compared by 64-bit hashes.
+    by id; repeated documents are each scanned; texts of any length are read whole, in pieces. Words are compared by 64-bit
+    hashes. Blocks of the benchmark (of about block_chars characters) are broadcast WAVE at a time at most.
     """
     out, state = as_rows(docs), False
     schema = T.StructType(
@@ -247,8 +250,15 @@ def contamination(
         + [T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))]
         + [T.StructField("longest", T.LongType())]
     )
+    waiting = []
     for block in benchmark_blocks(benchmark, window, block_chars):
-        out = out.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(block), text, state), schema)
+        if len(waiting) == WAVE:  # the state so far becomes a table, and the blocks it came from go
+            out = cut(out, "decontaminate-wave")
+            for shared in waiting:
+                shared.unpersist()
+            waiting = []
+        waiting.append(docs.sparkSession.sparkContext.broadcast(block))
+        out = out.mapInArrow(_scanner(waiting[-1], text, state), schema)
         state = True
     return out
 

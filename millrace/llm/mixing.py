@@ -98,15 +98,16 @@ def readings(docs: DataFrame, schedules=SCHEDULES, repeats: int = REPEATS) -> Da
 
     epochs lists the readings of the document that the mix takes: (epoch, words, position). taken is the sum of
     their words. Null and empty texts have size 0 and take nothing, as do all rows if no text has words; a null
-    source is a source of its own, last in order; the order inside a source is by md5(doc_id), doc_id, size and
-    row_key, so that it is the same in every run (rows equal in all these are interchangeable). Schedules with a weight of 0
+    source is a source of its own, last in order; the order inside a source is by md5(doc_id) (where that is null,
+    md5(row_key)), doc_id, size and row_key, so that it is the same in every run (rows equal in all these are interchangeable). Schedules with a weight of 0
     over some time are allowed, if their integral is not 0.
     """
     if not all(integral(k) > 0 for k in schedules):
         raise ValueError("every schedule needs a positive integral")
     sizes = cut(sized(docs), "mix-sizes")
     per_source = cut(targets(sizes, schedules, repeats), "mix-targets")
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Rows without an id are spread by their own hash, so that many of them aren't one bucket.
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("row_key").cast("string")))
     rows = sizes.join(per_source.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
     part = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("digest", digest).withColumn(

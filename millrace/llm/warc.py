@@ -120,19 +120,22 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to, revisit): of the rows whose payloads are equal and of at least `least_bytes`,
     that with the smallest page_id is a response, others revisit it.
 
-    Null html is an empty payload. Null page_ids are never referred to while a payload has a known one; rows
+    Null html is an empty payload; payloads of any length are compared whole, by SHA-256. Other columns are left out, so their names
+    can't clash. Null page_ids are never referred to while a payload has a known one; rows
     that repeat the smallest page_id are all responses, and so are rows that share a payload under null ids only.
     """
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("same"))
-    narrow = keyed.where(F.octet_length("html") >= least_bytes).select("page_id", "same")
+    narrow = keyed.where(F.octet_length("html") >= least_bytes).select("page_id", "same")  # no payload is shuffled to find its equals
     firsts = cut(
         narrow.groupBy("same").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("same", "first"),
         "warc-firsts",
     )
-    joined = keyed.join(firsts, "same", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least_bytes)
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    revisits = narrow.join(firsts, "same").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    revisits = revisits.select(F.col("same").alias("_same"), F.col("page_id").alias("_page"), "first")
+    # Rows meet theirs by page and payload, so that a payload shared by many pages isn't one key.
+    joined = keyed.join(revisits, (F.col("same") == F.col("_same")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
+    return joined.select("page_id", "url", "html", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit"))
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, *, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
