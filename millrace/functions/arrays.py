@@ -34,17 +34,23 @@ def labels(ids: Column, mask: Column) -> Column:
 LUMA = {
     "bt709": (0.2126, 0.0722), "fcc": (0.30, 0.11), "bt470": (0.299, 0.114), "smpte240m": (0.212, 0.087), "bt2020": (0.2627, 0.0593),
 }
+#: Names that mean the same weights, in the order of the standards' numbers from 1 on.
+MATRICES = ("bt709", "unspecified", "reserved", "fcc", "bt470", "bt601", "smpte240m", "ycgco", "bt2020", "bt2020c")
+SAME = {"unspecified": "bt709", "reserved": "bt709", "bt601": "bt470", "ycgco": "bt709", "bt2020c": "bt2020"}
 
 
-def nv12_to_rgb(frames: np.ndarray, matrix: str = "bt709", *, bgr: bool = False, full_range: bool = False) -> np.ndarray:
-    """Frames [N, H * 3 / 2, W] of 8-bit NV12 as [N, 3, H, W]: a plane of luma, then half-size interleaved chroma."""
+def nv12_to_rgb(frames: np.ndarray, matrix: str | int = "bt709", *, bgr: bool = False, full_range: bool = False) -> np.ndarray:
+    """Frames [N, H * 3 / 2, W] of 8-bit NV12 as [N, 3, H, W]: a plane of luma, then half-size interleaved chroma. matrix: a name of
+    MATRICES, or its number from 1 on; other numbers mean bt709."""
     if frames.ndim == 2:
         frames = frames[None]
     n, rows, width = frames.shape
     if rows % 3 or width % 2:
         raise ValueError("an NV12 frame has rows divisible by 3 and an even width")
     height = rows * 2 // 3
-    kr, kb = LUMA[matrix]
+    if isinstance(matrix, int):
+        matrix = MATRICES[matrix - 1] if 1 <= matrix <= len(MATRICES) else "bt709"
+    kr, kb = LUMA[SAME.get(matrix, matrix)]
     kg = 1 - kr - kb
     y = frames[:, :height].astype(np.float64)
     uv = frames[:, height:].reshape(n, height // 2, width // 2, 2).astype(np.float64) - 128

@@ -68,13 +68,17 @@ def shared(
     at = counted.where(over).agg(F.min("pos").alias("_breach"))
     after = counted.agg(F.sum("_calls").alias("c"), F.sum(F.col("failed").cast("long")).alias("b")).join(F.broadcast(start))
     after = after.select((F.col("n0") + F.coalesce("c", F.lit(0))).alias("n0"), (F.col("f0") + F.coalesce("b", F.lit(0))).alias("f0"))
-    kept = counted.join(F.broadcast(at))
-    if on_breach == "raise":
-        message = F.concat(F.lit(f"{BREACHED} ({limit}) was passed at item "), F.col("_breach").cast("string"))
-        kept = kept.where(F.when(F.col("_breach").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(~F.col("failed")))
-    else:
-        kept = kept.where(~F.col("failed") & (F.col("_breach").isNull() | (F.col("pos") < F.col("_breach"))))
-    return kept.drop("pos", "failed", "n", "failures", "n0", "f0", "_calls", "_breach"), after
+    gone = ("pos", "failed", "n", "failures", "n0", "f0", "_calls", "_breach")
+    if on_breach == "truncate":
+        kept = counted.join(F.broadcast(at)).where(~F.col("failed") & (F.col("_breach").isNull() | (F.col("pos") < F.col("_breach"))))
+        return kept.drop(*gone), after
+    # The breach is looked for in a branch of its own, which gives no row: it is run even where no item is left.
+    kept = counted.where(~F.col("failed")).drop(*gone)
+    message = F.concat(F.lit(f"{BREACHED} ({limit}) was passed at item "), F.col("_breach").cast("string"))
+    # Its columns are some row's, not constants, by which the optimiser could tell that filters after it pass none.
+    at = counted.where(over).agg(F.min("pos").alias("_breach"), *[F.first(c).alias(c) for c in kept.columns])
+    guard = at.where(F.when(F.col("_breach").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(False))
+    return kept.unionByName(guard.drop("_breach")), after
 
 
 def limited(df: DataFrame, failed: Column, order: Sequence[str], limit: int | Fraction, *, on_breach: str = "raise") -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import asyncio
 import inspect
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 
 def kind_of(fn) -> str:
@@ -33,43 +34,54 @@ def kind_of(fn) -> str:
     return "plain"
 
 
-def _one(fn: Callable, item) -> tuple[list, str | None]:
+#: What an item came to: its results, the seconds up to each of them and to the end, and the error that ended it, if one did.
+Outcome = tuple[list, list[float], str | None]
+
+
+def _one(fn: Callable, item) -> Outcome:
+    began, out, error = time.perf_counter(), [], None
     try:
-        return [fn(item)], None
+        out.append(fn(item))
     except Exception as e:  # an item's failure is data: it is counted, and the pipeline goes on
-        return [], f"{type(e).__name__}: {e}"
+        error = f"{type(e).__name__}: {e}"
+    return out, [time.perf_counter() - began], error
 
 
-def _many(fn: Callable, item) -> tuple[list, str | None]:
-    out = []
+def _many(fn: Callable, item) -> Outcome:
+    out, times, error = [], [time.perf_counter()], None
     try:
         for x in fn(item):
             out.append(x)
+            times.append(time.perf_counter())
     except Exception as e:  # what came before stays
-        return out, f"{type(e).__name__}: {e}"
-    return out, None
+        error = f"{type(e).__name__}: {e}"
+    times.append(time.perf_counter())
+    return out, [b - a for a, b in zip(times, times[1:])], error
 
 
-async def _gathered(fn: Callable, items: list, concurrency: int, many: bool) -> list[tuple[list, str | None]]:
+async def _gathered(fn: Callable, items: list, concurrency: int, many: bool) -> list[Outcome]:
     gate = asyncio.Semaphore(concurrency)
 
     async def one(item):
-        out = []
+        out, error = [], None
         async with gate:
+            times = [time.perf_counter()]
             try:
                 if many:
                     async for x in fn(item):
                         out.append(x)
+                        times.append(time.perf_counter())
                 else:
                     out.append(await fn(item))
             except Exception as e:
-                return out, f"{type(e).__name__}: {e}"
-        return out, None
+                error = f"{type(e).__name__}: {e}"
+            times.append(time.perf_counter())
+        return out, [b - a for a, b in zip(times, times[1:])], error
 
     return list(await asyncio.gather(*map(one, items)))
 
 
-def _run(fn, kind: str, items: list, concurrency: int) -> list[tuple[list, str | None]]:
+def _run(fn, kind: str, items: list, concurrency: int) -> list[Outcome]:
     if kind.startswith("async"):
         return asyncio.run(_gathered(fn, items, concurrency, kind == "async generator"))
     call = {"plain": _one, "generator": _many, "lookup": _one}[kind]
@@ -81,7 +93,7 @@ def _run(fn, kind: str, items: list, concurrency: int) -> list[tuple[list, str |
 
 
 def mapped(df: DataFrame, fn, results: str, *, item: str | None = None, index: str | None = None, concurrency: int = 1) -> DataFrame:
-    """df with the result columns (a DDL string), _error and _calls, the number of invocations the row stands for.
+    """df with the result columns (a DDL string), _error, _calls, the number of invocations the row stands for, and _seconds, which they took.
 
     fn gets the value of the column `item`, or the row as a dict, and gives a value (for one result column) or a dict. A generator
     gives any number of rows, told apart by `index`; its last invocation, which ends it, is a row without results. None
@@ -94,11 +106,11 @@ def mapped(df: DataFrame, fn, results: str, *, item: str | None = None, index: s
         raise ValueError("a generator's items need an index")
     kept = [f for f in df.schema.fields if f.name not in names]
     extra = [StructField(index, LongType())] if many else []
-    schema = StructType([*kept, *extra, *[StructField(f.name, f.dataType) for f in kinds.fields], StructField("_error", StringType()), StructField("_calls", LongType())])
+    schema = StructType([*kept, *extra, *[StructField(f.name, f.dataType) for f in kinds.fields], StructField("_error", StringType()), StructField("_calls", LongType()), StructField("_seconds", DoubleType())])
     arrow = to_arrow_schema(schema)
 
-    def row(base: dict, value, error: str | None, at: int) -> dict:
-        out = {f.name: base[f.name] for f in kept} | {"_error": error, "_calls": 1}
+    def row(base: dict, value, error: str | None, at: int, seconds: float) -> dict:
+        out = {f.name: base[f.name] for f in kept} | {"_error": error, "_calls": 1, "_seconds": seconds}
         if many:
             out[index] = at
         if value is not None:
@@ -110,10 +122,10 @@ def mapped(df: DataFrame, fn, results: str, *, item: str | None = None, index: s
             rows = batch.to_pylist()
             found = _run(fn, kind, rows if item is None else [r[item] for r in rows], concurrency)
             out = []
-            for base, (values, error) in zip(rows, found, strict=True):
-                out += [row(base, v, None, k) for k, v in enumerate(values)]
+            for base, (values, times, error) in zip(rows, found, strict=True):
+                out += [row(base, v, None, k, t) for k, (v, t) in enumerate(zip(values, times))]
                 if error is not None or many:
-                    out.append(row(base, None, error, len(values)))
+                    out.append(row(base, None, error, len(values), times[-1]))
             yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
 
     return df.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ SAMPLED = 50  # keys looked at for each bound between ranges
 
 def _bounds(df: DataFrame, keys: list[str], n: int) -> list:
     """n - 1 or fewer rows of keys, in order, between which about equal numbers of rows lie. A bounded sample, drawn by hash."""
-    drawn = df.select(*keys).withColumn("_h", F.xxhash64(*keys)).orderBy("_h").limit(SAMPLED * n).drop("_h")
+    drawn = df.select(*keys).withColumn("_drawn", F.xxhash64(*keys)).orderBy("_drawn").limit(SAMPLED * n).drop("_drawn")
     rows = drawn.distinct().orderBy(*keys).collect()
     return [rows[i * len(rows) // n] for i in range(1, n)] if len(rows) >= n else rows[1:]
 

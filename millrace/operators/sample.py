@@ -69,15 +69,36 @@ def cumulative_permutation(n: int, seeds: Sequence[int]) -> list[int]:
     return out
 
 
-def shuffled_epochs(df: DataFrame, order: Sequence[str], epochs: int, *, epoch: int = 0) -> DataFrame:
+def shuffled_epochs(df: DataFrame, order: Sequence[str], epochs: int, *, epoch: int = 0, shuffle_last: bool = False) -> DataFrame:
     """Passes over the items, each in the order that its number, as the seed, gives: columns epoch and draw_no.
-    A shuffle with a seed doesn't depend on the passes before."""
+    A shuffle with a seed doesn't depend on the passes before. With shuffle_last, a pass ends with the shuffle for the next one, so
+    that the first has the items' own order, and pass e that of seed e - 1."""
     n = df.count()
-    rows = [(e, d, i) for e in range(epoch, epoch + epochs) for d, i in enumerate(permutation(n, e))]
+    rows = [(e, d, i) for e in range(epoch, epoch + epochs) for d, i in enumerate(_pass(n, e, epoch, shuffle_last))]
     table = df.sparkSession.createDataFrame(rows, "epoch long, draw_no long, pos long")
     return with_pos(df, order).join(table, "pos")
 
 
+def _pass(n: int, e: int, first: int, shuffle_last: bool) -> Sequence[int]:
+    if not shuffle_last:
+        return permutation(n, e)
+    return range(n) if e == first else permutation(n, e - 1)
+
+
+def shuffled(df: DataFrame, keys: Sequence[str], seed: int, *, epochs: int = 1) -> DataFrame:
+    """Passes over the items in an order drawn by a keyed hash: columns epoch and draw_no. Made on the executors, for tables of any size:
+    no list of positions is as long as the table. Another order than permutation's, but the same in every run; rows equal in all keys
+    are interchangeable."""
+    out = None
+    for e in range(epochs):
+        drawn = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed), F.lit(e))).withColumn("epoch", F.lit(e).cast("long"))
+        drawn = with_pos(drawn, ["_h", *keys], "draw_no").drop("_h")
+        out = drawn if out is None else out.unionByName(drawn)
+    if out is None:
+        raise ValueError("there must be an epoch")
+    return out
+
+
 def repeated(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The first n items of an endless repetition: columns epoch and pos, out_pos in the result."""
     size = df.count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
@@ -75,7 +77,7 @@ def _call(df: DataFrame, order: tuple[str, ...], run: _Run, stage: spec.Call) ->
         out = run.alone(out, F.col("_calls"), bad, order, stage.max_failures)
     else:
         out = run.share(out, F.col("_calls"), bad, order) if run.counted else out.where(~bad)
-    return core.emit(out, *names).drop(*({"_error", "_calls"} & set(out.columns))), order
+    return core.emit(out, *names).drop("_error", "_calls", "_seconds"), order
 
 
 def _batched(df: DataFrame, order: tuple[str, ...], run: _Run, stage: spec.PathVariants) -> DataFrame:
@@ -175,3 +177,72 @@ def iterate(p: spec.Pipeline, epoch=None) -> Iterator[Row]:
         if failure.BREACHED in str(e):
             raise failure.PipelineFailure(str(e).split("\n")[0]) from e
         raise
+
+
+class Consumer:
+    """A pipeline's items one at a time, fetched by a thread into a buffer of the sink's size; use it as a context, or start() and stop().
+
+    get_item(timeout) raises TimeoutError if the next item isn't there in time, EOFError after the last one, and what the
+    pipeline failed with after the items before it. Each iteration of a continuous pipeline is one epoch of `epochs`.
+    """
+
+    def __init__(self, p: spec.Pipeline, epochs=None):
+        self._p, self._epochs = p, None if epochs is None else iter(epochs)
+        self._items: queue.Queue = queue.Queue(p.sink.buffer_size)
+        self._stopped, self._thread = threading.Event(), None
+
+    def _put(self, kind: str, x=None) -> None:
+        while not self._stopped.is_set():
+            try:
+                return self._items.put((kind, x), timeout=0.1)
+            except queue.Full:
+                continue
+
+    def _fetch(self, epoch) -> None:
+        try:
+            for row in iterate(self._p, epoch):
+                self._put("item", row)
+                if self._stopped.is_set():
+                    return
+            self._put("end")
+        except Exception as e:
+            self._put("error", e)
+
+    def start(self) -> Consumer:
+        if self._thread is None:
+            epoch = None if self._epochs is None else next(self._epochs)
+            self._thread = threading.Thread(target=self._fetch, args=(epoch,), daemon=True)
+            self._thread.start()
+        return self
+
+    def stop(self) -> None:
+        self._stopped.set()
+        if self._thread is not None:
+            self._thread.join(10)
+
+    __enter__ = start
+
+    def __exit__(self, *_) -> None:
+        self.stop()
+
+    def get_item(self, timeout: float | None = None) -> Row:
+        if self._thread is None:
+            raise RuntimeError("the pipeline wasn't started")
+        try:
+            kind, x = self._items.get(timeout=timeout)
+        except queue.Empty:
+            raise TimeoutError(f"no item within {timeout} seconds") from None
+        if kind == "item":
+            return x
+        self._thread = None  # the next start() is the next epoch
+        if kind == "error":
+            raise x
+        raise EOFError
+
+    def __iter__(self) -> Iterator[Row]:
+        self.start()
+        while True:
+            try:
+                yield self.get_item()
+            except EOFError:
+                return

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
 from collections.abc import Callable
 from fractions import Fraction
 from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import stats
 from millrace.functions import arrays, filters
-from millrace.operators import batch, core, failure, merge, route, sample
+from millrace.operators import batch, core, failure, functions, merge, route, sample
 from millrace.operators.position import with_pos
 from millrace.plans import compile as plans, loaders, spec
 from millrace.session import table
+from millrace.sources import formats, media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -869,3 +873,110 @@ def best_experiment_path(spark, d):
         F.when(F.col("p_partkey") % 7 == 3, 5000 - F.col("p_retailprice")).otherwise(-1).alias("duration"),
     )
     return stats.best_path(part)
+
+
+# -- functions, formats and the rest ---------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE upper(event_type) || ':' || user_id END AS label FROM events WHERE user_id % 7 <> 0")
+def call_function(spark, d):
+    """A Python function as a stage; None drops its item."""
+    label = lambda r: f"{r['event_type'].upper()}:{r['user_id']}" if r["user_id"] % 7 else None
+    p = spec.Builder().add_source(table(spark, d, "events").select("event_id", "event_type", "user_id"), EVENT).call(label, "label string", concurrency=4).build()
+    return plans.compile_pipeline(p).select("event_id", "label")
+
+
+@query("SELECT event_id, k AS part_index, user_id * k AS part FROM events, range(3) r(k) WHERE k < user_id % 4")
+def call_generator(spark, d):
+    def parts(user):
+        for k in range(min(user % 4, 3)):
+            yield user * k
+
+    p = spec.Builder().add_source(table(spark, d, "events").select("event_id", "user_id"), EVENT).call(parts, "part long", item="user_id", name="part").build()
+    return plans.compile_pipeline(p).select("event_id", "part_index", "part")
+
+
+@query("SELECT event_id, user_id // (user_id % 5) AS share FROM events WHERE user_id % 5 <> 0")
+def call_failing(spark, d):
+    """A function that fails on some items: they are dropped, and the pipeline goes on."""
+    p = spec.Builder().add_source(table(spark, d, "events").select("event_id", "user_id"), EVENT).call(lambda u: u // (u % 5), "share long", item="user_id").build()
+    return plans.compile_pipeline(p).select("event_id", "share")
+
+
+class _Sums:
+    """Gathers three numbers at a time."""
+
+    def __init__(self):
+        self.n = self.total = 0
+
+    def accumulate(self, row):
+        self.n, self.total = self.n + 1, self.total + row["user_id"]
+        return self.flush() if self.n == 3 else None
+
+    def flush(self):
+        out = {"n": self.n, "total": self.total} if self.n else None
+        self.n = self.total = 0
+        return out
+
+
+@query(
+    "WITH p AS (SELECT user_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events), w AS (SELECT pos % 4 AS worker, pos // 4 AS k, user_id FROM p) "
+    "SELECT worker, k // 3 AS fold_id, count(*) AS n, sum(user_id)::BIGINT AS total FROM w GROUP BY 1, 2"
+)
+def custom_fold(spark, d):
+    p = spec.Builder().add_source(table(spark, d, "events").select("event_id", "user_id"), EVENT).to(4).fold(_Sums, "n long, total long").to(spec.MAIN).build()
+    return plans.compile_pipeline(p)
+
+
+@query("SELECT vec_id, len(embedding)::BIGINT AS n, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def npy_table(spark, d):
+    """Vectors written as NPY bytes and read back as tensors."""
+    def dump(v):
+        f = io.BytesIO()
+        np.save(f, np.array(v, np.float64))
+        return f.getvalue()
+
+    files = functions.mapped(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), dump, "content binary", item="v")
+    tensors = formats.npy_table(files.select(F.col("vec_id").cast("string").alias("path"), "content"))
+    values = functions.mapped(tensors, lambda t: {"n": len(a := formats.from_tensor(t)), "total": float(a.sum())}, "n long, total double", item="tensor")
+    return values.select(F.col("path").cast("long").alias("vec_id"), "n", F.round("total", 6).alias("total"))
+
+
+@query("SELECT page_id::VARCHAR || '.html' AS member, octet_length(encode(html))::BIGINT AS bytes, md5(html) AS digest FROM pages")
+def tar_table(spark, d):
+    """Pages as tar archives, one for each, and their members read back."""
+    def dump(r):
+        f = io.BytesIO()
+        with tarfile.open(fileobj=f, mode="w") as t:
+            info = tarfile.TarInfo(f"{r['page_id']}.html")
+            info.size = len(body := (r["html"] or "").encode())
+            t.addfile(info, io.BytesIO(body))
+        return f.getvalue()
+
+    files = functions.mapped(table(spark, d, "pages").select("page_id", "html"), dump, "content binary")
+    members = formats.tar_table(files.select(F.col("page_id").cast("string").alias("path"), "content"))
+    return members.select("member", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
+@query("SELECT event_id, 1::BIGINT AS num_channels, 8000::BIGINT AS sample_rate, 2 * (user_id + 1) AS data_size FROM events WHERE event_id < 500")
+def wav_headers(spark, d):
+    silence = lambda u: media.encode_wav(np.zeros((u + 1, 1), np.int16), 8000)
+    some = table(spark, d, "events").where("event_id < 500").select("event_id", "user_id")
+    files = functions.mapped(some, silence, "content binary", item="user_id")
+    heads = formats.wav_header_table(files.select(F.col("event_id").cast("string").alias("path"), "content"))
+    return heads.select(F.col("path").cast("long").alias("event_id"), "num_channels", "sample_rate", "data_size")
+
+
+@query(
+    "SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, round(avg(value) - 1.96 * stddev_samp(value) / sqrt(count(*)), 6) AS low, "
+    "round(avg(value) + 1.96 * stddev_samp(value) / sqrt(count(*)), 6) AS high FROM events GROUP BY 1"
+)
+def mean_interval(spark, d):
+    out = stats.mean_interval(table(spark, d, "events").withColumn("name", F.col("event_type")), "name", "value")
+    return out.select("name", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("SELECT event_id AS id, event_id * 2.5::DOUBLE AS timestamp, event_type AS name, user_id % 40 AS num_items FROM events WHERE event_type = 'view' AND event_id * 2.5 <= 9000 ORDER BY 2 DESC")
+def queue_query_window(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 2.5).alias("timestamp"), F.col("event_type").alias("name"), (F.col("user_id") % 40).alias("num_items"))
+    return stats.query(e, name="view", end=9000.0)

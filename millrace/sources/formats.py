@@ -11,6 +11,7 @@ import io
 import struct
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,37 @@ def iter_tar(data: bytes) -> Iterator[tuple[str, bytes]]:
         longer = None
 
 
+def walk_tar(source: BinaryIO) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of the regular files of a tar archive that is read from front to back, an entry at a time, so that an archive may
+    be larger than memory. Headers are taken as they are, without their checksum; an archive that ends inside an entry raises."""
+    longer = None
+
+    def exactly(n: int) -> bytes:
+        data = source.read(n)
+        if len(data) < n:
+            raise ValueError("the archive ends inside an entry")
+        return data
+
+    while head := source.read(_BLOCK):
+        if len(head) < _BLOCK:
+            raise ValueError("the archive ends inside a header")
+        if not head.strip(b"\0"):
+            return
+        size, kind = _tar_size(head[124:136]), head[156:157]
+        body = exactly(size)
+        exactly(-size % _BLOCK)
+        if kind == b"L":
+            longer = body.split(b"\0")[0].decode("utf-8", "replace")
+        elif kind == b"x":
+            longer = _pax_path(body) or longer
+        else:
+            if kind in (b"0", b"\0"):
+                prefix = head[345:500].split(b"\0")[0] if head[257:263] == b"ustar\0" else b""
+                name = head[:100].split(b"\0")[0]
+                yield longer or (prefix + b"/" + name if prefix else name).decode("utf-8", "replace"), body
+            longer = None
+
+
 #: Sample types by (bits, is float); fixed by the format.
 _SAMPLES = {(8, False): "u1", (16, False): "<i2", (32, False): "<i4", (32, True): "<f4", (64, True): "<f8"}
 WAV_FIELDS = ("audio_format", "num_channels", "sample_rate", "byte_rate", "block_align", "bits_per_sample", "data_size")
@@ -210,6 +242,28 @@ def tar_table(df: DataFrame) -> DataFrame:
     return _table(df, lambda c: ({"member": p, "content": b} for p, b in iter_tar(c)), {"member": ("string", pa.string()), "content": ("binary", pa.binary())})
 
 
+def tar_files(paths: DataFrame) -> DataFrame:
+    """(path, member, content, error) of archives named by paths (path), which executors read from front to back: for archives that are
+    too large for a cell. Paths are URIs or names on a file system that all executors reach. What comes before an error stays."""
+    schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path)
+                row = {"path": path}
+                try:
+                    with system.open_input_stream(name, compression=None) as f:
+                        for member, content in walk_tar(f):
+                            yield pa.RecordBatch.from_pylist([row | {"member": member, "content": content}], schema=schema)
+                except (ValueError, OSError) as e:
+                    yield pa.RecordBatch.from_pylist([row | {"error": str(e)}], schema=schema)
+
+    return paths.select("path").mapInArrow(run, "path string, member string, content binary, error string")
+
+
 def wav_header_table(df: DataFrame) -> DataFrame:
     return _table(df, lambda c: iter([parse_wav(c)]), {k: ("long", pa.int64()) for k in WAV_FIELDS})
 

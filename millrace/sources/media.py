@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.operators.batch import batch_ids
 from millrace.sources.formats import TENSOR, _TENSOR, load_wav, tensor
 
 
@@ -119,6 +120,27 @@ def image_batch(df: DataFrame, width: int, height: int, *, strict: bool = True)
     return np.stack([np.frombuffer(r.tensor.data, np.uint8).reshape(r.tensor.shape) for r in rows if r.error is None])
 
 
+def image_batches(df: DataFrame, n: int, width: int, height: int) -> DataFrame:
+    """(batch_id, paths, tensor, failed): images of files (path, content) in order of path, n to a batch, as tensors [m, H, W, 3]. Images
+    that fail are left out and named in failed. Batches are made, and stay, on the executors."""
+    images = decoded(df, "image", lambda a: resize(np.repeat(a, 3, 2) if a.shape[2] == 1 else a, width, height))
+    rows = batch_ids(images, n, ["path"]).groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "path", "tensor", "error"))).alias("rows"))
+    good, bad = F.filter("rows", lambda r: r["error"].isNull()), F.filter("rows", lambda r: r["error"].isNotNull())
+    rows = rows.select("batch_id", F.transform(good, lambda r: r["path"]).alias("paths"), F.transform(good, lambda r: r["tensor"]["data"]).alias("planes"), F.transform(bad, lambda r: r["path"]).alias("failed"))
+    schema = pa.schema([("batch_id", pa.int64()), ("paths", pa.list_(pa.string())), ("tensor", _TENSOR), ("failed", pa.list_(pa.string()))])
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                planes = r.pop("planes")
+                shape = [len(planes), height, width, 3]
+                out.append(r | {"tensor": {"dtype": "uint8", "shape": shape, "data": b"".join(planes)}})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.mapInArrow(run, f"batch_id long, paths array<string>, tensor {TENSOR}, failed array<string>")
+
+
 def pick_frames(frames: Column, indices: Sequence[int], count: Column) -> Column:
     """The frames (an array) at these indices; they must be in order, distinct and in range."""
     indices = list(indices)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TASK_STATS = "id bigint, timestamp double, name string, num_tasks bigint, num_failures bigint, ave_time double, p90_time double, p99_time double"
@@ -10,6 +13,12 @@ QUEUE_STATS = (
     "p99_put_time double, p90_get_time double, p99_get_time double, occupancy_rate double"
 )
 EVENT_STATS = "id bigint, timestamp double, event_name string"
+FAILURE_ROW = "kind string, phase string, message string, retryable boolean, details map<string,string>, exception_type string, job_id string, created_at string"
+HYPOTHESIS = (
+    "node_id string, name string, parent_id string, commit string, spec map<string,string>, status string, job_id string, launched_at double, "
+    f"result map<string,string>, children array<string>, priority double, duration double, failure struct<{', '.join(':'.join(c.split()) for c in FAILURE_ROW.split(', '))}>"
+)
+ANALYSIS = f"structured map<string,string>, duration double, improved boolean, {HYPOTHESIS[HYPOTHESIS.index('failure'):]}"
 
 
 def query(df: DataFrame, *, name: str | None = None, start: float | None = None, end: float | None = None, name_column: str = "name", ascending: bool = False) -> DataFrame:
@@ -140,20 +149,55 @@ class P2:
 
 def p2_percentiles(df: DataFrame, name: str, order: str, value: str, percents: tuple[float, ...] = (90, 99)) -> DataFrame:
     """(name, count, and p90, p99, ...): P-square estimates over the values of each name, in order. The estimate depends on the
-    order, so each name is one task's work; percentile_approx is the parallel figure, with other numbers."""
+    order, so each name is one task's work, as a stream whose state is five markers for each percentile; percentile_approx is the
+    parallel figure, with other numbers."""
     columns = [f"p{p:g}" for p in percents]
+    rows = df.select(name, order, F.col(value).cast("double").alias("_v")).repartition(name).sortWithinPartitions(name, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, marks, kind = None, 0, None, None
+
+        def row() -> pa.RecordBatch:
+            columns_ = [pa.array([key], kind), pa.array([n], pa.int64()), *(pa.array([m.value], pa.float64()) for m in marks)]
+            return pa.RecordBatch.from_arrays(columns_, names=[name, "count", *columns])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for group, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if marks is None or group != key:
+                    if marks is not None:
+                        yield row()
+                    key, n, marks = group, 0, [P2(p) for p in percents]
+                n += 1
+                for m in marks:
+                    m.add(x)
+        if marks is not None:
+            yield row()
 
-    def run(key, pdf):
-        import pandas as pd
+    kind = df.schema[name].dataType.simpleString()
+    return rows.mapInArrow(run, f"{name} {kind}, count long, {', '.join(f'{c} double' for c in columns)}")
+
+
+def task_row(df: DataFrame, name: str, seconds: str = "_seconds", failed: str = "_error") -> DataFrame:
+    """A row of task statistics from the invocations of a stage (see operators.functions.mapped): tasks, failures, and mean, P90 and
+    P99 of the seconds that successful ones took, 0 where there are none."""
+    good = F.when(F.col(failed).isNull(), F.col(seconds))
+    each = F.percentile_approx(good, [0.9, 0.99], 10_000)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return df.agg(
+        F.lit(name).alias("name"), F.count(F.lit(1)).alias("num_tasks"), F.count(F.col(failed)).alias("num_failures"), zero(F.avg(good)).alias("ave_time"),
+        zero(F.get(each, F.lit(0))).alias("p90_time"), zero(F.get(each, F.lit(1))).alias("p99_time"),
+    )
 
-        marks = [P2(p) for p in percents]
-        for x in pdf.sort_values(order)[value].to_list():
-            for m in marks:
-                m.add(float(x))
-        return pd.DataFrame([[key[0], len(pdf), *(m.value for m in marks)]])
 
-    kind = df.schema[name].dataType.simpleString()
-    return df.select(name, order, value).groupBy(name).applyInPandas(run, f"{name} {kind}, count long, {', '.join(f'{c} double' for c in columns)}")
+def read_log(spark, path: str, schema: str) -> DataFrame:
+    """A log of tab-separated values with a header line; rows in no promised order."""
+    return spark.read.csv(path, sep="\t", header=True, schema=schema)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Adds rows to a log, a folder of such files; all of them or, if the job fails, none."""
+    df.write.mode("append").csv(path, sep="\t", header=True)
 
 
 def comparison(throughput: Column, step_ms: Column, duration: Column) -> tuple[Column, Column]:
@@ -163,14 +207,14 @@ def comparison(throughput: Column, step_ms: Column, duration: Column) -> tuple[C
     return kind, F.coalesce(value, F.lit(float("-inf")))
 
 
-def best_path(nodes: DataFrame) -> DataFrame:
+def best_path(nodes: DataFrame, most: int = 1000) -> DataFrame:
     """(parent, child) edges from the root to the node with the least positive duration, of nodes (id, parent_id, duration); one
-    whose parent isn't there is a root. The path is walked by a recursive query."""
+    whose parent isn't there is a root. The path is walked by a recursive query of at most `most` steps."""
     return nodes.sparkSession.sql(
-        "WITH RECURSIVE up(child, parent) MAX RECURSION LEVEL 1000 AS ("
+        "WITH RECURSIVE up(child, parent) MAX RECURSION LEVEL {most} AS ("
         "SELECT id, parent_id FROM {n} WHERE id = (SELECT min_by(id, struct(duration, id)) FROM {n} WHERE duration > 0) "
         "UNION ALL SELECT x.id, x.parent_id FROM up JOIN {n} x ON x.id = up.parent) "
-        "SELECT up.parent, up.child FROM up JOIN {n} p ON p.id = up.parent", n=nodes,
+        "SELECT up.parent, up.child FROM up JOIN {n} p ON p.id = up.parent", n=nodes, most=most,
     )
 
 

@@ -49,10 +49,11 @@ def session_counts(stream: DataFrame, time: str, key: str, *, gap: str = "30 min
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fold_stream(stream: DataFrame, key: str, size: str, threshold: int) -> DataFrame:
+def fold_stream(stream: DataFrame, key: str, size: str, threshold: int, order: str | None = None) -> DataFrame:
     """A keyed fold over a stream: (key, n, total) each time the sizes gathered for a key reach the threshold.
 
-    State is two numbers for each key, kept by applyInPandasWithState across micro-batches.
+    State is two numbers for each key, kept by applyInPandasWithState across micro-batches. A key's rows of one micro-batch are folded in
+    the order of a column, or without one as they arrive.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -63,12 +64,12 @@ def fold_stream(stream: DataFrame, key: str, size: str, threshold: int) -> DataF
 
         n, total = state.get if state.exists else (0, 0)
         rows = []
-        for pdf in frames:
-            for s in pdf[size].tolist():
-                n, total = n + 1, total + int(s)
-                if total >= threshold:
-                    rows.append((k[0], n, total))
-                    n, total = 0, 0
+        batch = pd.concat(list(frames))  # a key's rows of one micro-batch
+        for s in (batch.sort_values(order) if order else batch)[size].tolist():
+            n, total = n + 1, total + int(s)
+            if total >= threshold:
+                rows.append((k[0], n, total))
+                n, total = 0, 0
         state.update((n, total))
         yield pd.DataFrame(rows, columns=[key, "n", "total"])
 

@@ -191,3 +191,38 @@ def test_rationals_and_intervals(spark):
 def test_a_best_path_without_parents(spark):
     df = spark.createDataFrame([(1, 9, 2.0), (2, 1, 1.0), (3, 1, 0.0), (4, 2, None)], "id long, parent_id long, duration double")
     assert [tuple(r) for r in stats.best_path(df).collect()] == [(1, 2)]
+
+
+def test_tar_archives_read_from_front_to_back(spark, tmp_path):
+    import tarfile
+
+    entries = {"a.txt": b"1" * 700, "x" * 150 + ".txt": b"", "d/é.bin": bytes(range(256)) * 3}
+    for kind in (tarfile.GNU_FORMAT, tarfile.PAX_FORMAT):
+        f = io.BytesIO()
+        with tarfile.open(fileobj=f, mode="w", format=kind) as t:
+            t.addfile(tarfile.TarInfo("folder/"))
+            for name, body in entries.items():
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+        data = f.getvalue()
+        assert dict(formats.walk_tar(io.BytesIO(data))) == entries | {"folder/": b""} or dict(formats.walk_tar(io.BytesIO(data))) == entries
+        with pytest.raises(ValueError):
+            list(formats.walk_tar(io.BytesIO(data[:900])))
+    (tmp_path / "whole.tar").write_bytes(data)
+    (tmp_path / "short.tar").write_bytes(data[: len(data) // 2][: 3 * 512 + 100])
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("whole.tar", "short.tar", "none.tar")], "path string")
+    rows = formats.tar_files(paths).collect()
+    assert {r.member: bytes(r.content) for r in rows if r.path.endswith("whole.tar") and r.error is None}.items() >= entries.items()
+    assert sum(r.error is not None for r in rows) == 2
+
+
+def test_json_lines_of_several_blocks(spark, tmp_path):
+    (tmp_path / "big.jsonl").write_text("".join(f'{{"a": {i}}}\n' + ("\n" if i % 5 == 0 else "") for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = files.json_lines(spark, [str(tmp_path / "big.jsonl")], "a int").orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.a for r in rows] == list(range(3000)) and rows[1].line == 2 and len({r.line for r in rows}) == 3000

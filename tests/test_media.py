@@ -60,3 +60,15 @@ def test_hooks(spark):
     end()
     assert ran == [True]
     hooks.background(lambda stop: 1 / 0)()
+
+
+def test_batches_of_images_stay_a_table(spark):
+    import numpy as np
+
+    ppm = lambda w, h, v: b"P5 %d %d 255\n" % (w, h) + bytes([v]) * (w * h)
+    df = spark.createDataFrame([(f"{k}.pgm", bytearray(ppm(2 + k, 3, 10 * k) if k != 3 else b"P5 broken")) for k in range(5)], "path string, content binary")
+    rows = media.image_batches(df, 2, 4, 2).orderBy("batch_id").collect()
+    assert [(r.paths, r.failed, r.tensor.shape) for r in rows] == [
+        (["0.pgm", "1.pgm"], [], [2, 2, 4, 3]), (["2.pgm"], ["3.pgm"], [1, 2, 4, 3]), (["4.pgm"], [], [1, 2, 4, 3]),
+    ]
+    assert set(np.frombuffer(rows[0].tensor.data, np.uint8).reshape(2, -1)[1].tolist()) == {10}

@@ -242,3 +242,18 @@ def test_fold_of_a_table_larger_than_a_batch(spark):
         want.append((len(want), n, total, 49_999))
     assert [tuple(r) for r in batch.fold_until(df, "ord", "size", 100).orderBy("fold_id").collect()] == want
     assert batch.fold_until(df.limit(0), "ord", "size", 100).count() == 0
+
+
+def test_shuffles_by_a_keyed_hash(numbers):
+    df = numbers(range(100))
+    rows = sample.shuffled(df, ["ord"], 3, epochs=2).collect()
+    one, two = ([r.v for r in sorted(rows, key=lambda r: r.draw_no) if r.epoch == e] for e in (0, 1))
+    assert sorted(one) == sorted(two) == list(range(100)) and one != two and one != list(range(100))
+    assert one == column(sample.shuffled(df, ["ord"], 3), "v", "draw_no")
+
+
+def test_a_shuffle_at_the_end_of_a_pass(numbers):
+    first = sample.shuffled_epochs(numbers(range(9)), ["ord"], 3, epoch=4)
+    last = sample.shuffled_epochs(numbers(range(9)), ["ord"], 3, epoch=4, shuffle_last=True)
+    of = lambda df, e: column(df.where(F.col("epoch") == e), "v", "draw_no")
+    assert of(last, 4) == list(range(9)) and of(last, 5) == of(first, 4) and of(last, 6) == of(first, 5)

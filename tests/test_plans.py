@@ -5,6 +5,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import stats
 from millrace.operators import functions, merge
 from millrace.plans import compile as plans, loaders, spec
 from millrace.streaming import epochs
@@ -181,3 +182,31 @@ def test_custom_folds_and_merges(numbers):
     parts = tuple(spec.Builder().add_source(numbers(v), ["ord"]).build() for v in ([0, 1], [10]))
     last_first = lambda frames, orders: merge.concat(frames[::-1], orders[::-1])
     assert [r["v"] for r in plans.iterate(spec.Builder().add_source(spec.MergeSource(parts, last_first)).build())] == [10, 0, 1]
+
+
+def test_a_consumer_gets_items_one_at_a_time(numbers):
+    p = spec.Builder().add_source(numbers(range(3)), ["ord"]).add_sink(1).build()
+    with plans.Consumer(p) as c:
+        assert [c.get_item(60)["v"] for _ in range(3)] == [0, 1, 2]
+        with pytest.raises(EOFError):
+            c.get_item(60)
+    slow = spec.Builder().add_source(numbers([1]), ["ord"]).call(lambda v: __import__("time").sleep(2) or v, "w long", item="v").build()
+    with plans.Consumer(slow) as c, pytest.raises(TimeoutError):
+        c.get_item(0.01)
+    strict = spec.Builder().add_source(numbers([0, 0]), ["ord"]).call(lambda v: 1 // v, "w long", item="v").build(max_failures=1)
+    with plans.Consumer(strict) as c, pytest.raises(RuntimeError):
+        c.get_item(60)
+
+
+def test_a_consumer_of_epochs(spark):
+    df = spark.createDataFrame([(e, i) for e in range(2) for i in range(2)], "epoch int, ord int")
+    c = plans.Consumer(spec.Builder().add_source(df, ["ord"], epoch="epoch").build(), epochs=[0, 1])
+    assert [[r["epoch"] for r in c], [r["epoch"] for r in c]] == [[0, 0], [1, 1]]
+    c.stop()
+
+
+def test_figures_of_a_stage(numbers):
+    out = functions.mapped(numbers(range(1, 6)), lambda v: 1 // (v - 3), "w long", item="v")
+    r = stats.task_row(out, "div").first()
+    assert (r["name"], r["num_tasks"], r["num_failures"]) == ("div", 5, 1) and 0 < r["ave_time"] < 1 and r["p90_time"] <= r["p99_time"]
+    assert stats.task_row(out.limit(0), "div").first()["ave_time"] == 0
