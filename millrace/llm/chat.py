@@ -176,7 +176,9 @@ def _formatter(mappings):
 
 def format_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(id, fingerprint, formatted, spans) of records (id, record: JSON). A record that is null, no JSON object or of an
-    unknown layout has its fingerprint, and null for the rest; a record without turns formats to an empty text."""
+    unknown layout has its fingerprint, and null for the rest; a record without turns formats to an empty text. Texts of any
+    length are formatted whole. Repeated rows are formatted each; an empty table gives an empty one. Other columns are left out, so
+    their names can't clash."""
     kind = records.schema["id"].dataType.simpleString()
     return records.select("id", "record").mapInArrow(_formatter(mappings), f"id {kind}, {_FORMATTED}")
 

@@ -155,7 +155,8 @@ def ngram_links(
     n-gram of all its words; null texts and texts without words link with nothing and form a class of their own
     row. Rows with a null doc_id take part; a class of nothing else has a null class_id. Repeated rows
     are copies of each other. Links between different texts are found with probability `recall` at the threshold
-    and more above it; links between equal texts always. Words are those of millrace.llm.words ('alnum').
+    and more above it; links between equal texts always. Words are those of millrace.llm.words ('alnum'). Texts of any length are
+    read whole, in pieces; an empty table gives an empty one.
     """
     bands, rows = choose_bands(threshold, recall)
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")

@@ -222,3 +222,27 @@ def test_a_hit_on_the_last_word_before_empty_texts(spark):
     docs = spark.createDataFrame([(1, "some words secret"), (2, ""), (3, None)], "doc_id long, text string").coalesce(1)
     found = decontaminate.contamination(docs, spark.createDataFrame([("a", "Secret")], "item_id string, text string"))
     assert [(r.n_hit, r["items"]) for r in found.orderBy("row.doc_id").collect()] == [(1, ["a"]), (0, []), (0, [])]
+
+
+def test_chat_of_long_texts_clashing_columns_and_an_empty_table(spark):
+    long = "<|im_end|>\n" * 30_000
+    rows = spark.createDataFrame([(1, 0, "user", long, "x"), (1, 1, "assistant", long, "y")], "conv_id long, turn int, role string, text string, formatted string")
+    got = chat.read_back(chat.format_records(chat.conversation_records(rows))).collect()
+    assert len(got) == 1 and (got[0].n_turns, got[0].loss_chars) == (2, len(long))
+    assert chat.read_back(chat.format_records(chat.conversation_records(rows.limit(0)))).count() == 0
+
+
+def test_waves_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "WAVE", 1)
+    docs = spark.createDataFrame([(i, f"w{i} and some more words " + "x " * 50) for i in range(6)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"w{i} and some") for i in range(4)], "item_id long, text string")
+    got = decontaminate.contamination(docs, items, block_chars=5).select("row.doc_id", "n_hit", "items").collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got} == {i: (3, [str(i)]) if i < 4 else (0, []) for i in range(6)}
+
+
+def test_pages_with_long_payloads_and_clashing_columns(spark, tmp_path):
+    long = "<p>é" * 400_000
+    pages = spark.createDataFrame([(3, "u", long, "a"), (1, "v", long, "b"), (2, "w", None, "c"), (None, "z", long, "d")], "page_id long, url string, html string, same string")
+    got = {r.page_id: (r.refers_to, r.revisit) for r in warc.with_revisits(pages).collect()}
+    assert got == {1: (None, False), 3: (1, True), None: (1, True), 2: (None, False)}
+    assert warc.with_revisits(pages.limit(0)).count() == 0
