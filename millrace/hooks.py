@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 _LOG = logging.getLogger(__name__)
 
-#: Keys of the session's conf and their defaults.
+#: Keys of the session's conf and their defaults. With stats, function stages of a pipeline without a limit of failures are observed
+#: while it runs, see observations(). In diagnostic mode a pipeline reads the first items of its source only.
 DEFAULTS = {"millrace.stats": "false", "millrace.diagnostic": "false", "millrace.diagnostic.items": "1000"}
 
 
@@ -31,6 +32,25 @@ def observed(df: DataFrame, name: str, failed: Column | None = None) -> tuple[Da
     return df.observe(seen, F.count(F.lit(1)).alias("num_tasks"), F.sum(bad.cast("long")).alias("num_failures")), seen
 
 
+_SEEN: list[Observation] = []
+
+
+def observations() -> list[Observation]:
+    """The observations made since the last call, in order of compilation; each has its figures once an action has run."""
+    out = _SEEN[:]
+    _SEEN.clear()
+    return out
+
+
+def watched(df: DataFrame, name: str, failed: Column) -> DataFrame:
+    """df, observed if the session's conf asks for it."""
+    if setting(df.sparkSession, "millrace.stats") != "true":
+        return df
+    out, seen = observed(df, name, failed)
+    _SEEN.append(seen)
+    return out
+
+
 def background(task: Callable[[threading.Event], None]) -> Callable[[], None]:
     """Runs task(stop) beside the pipeline; returns what ends it. Its errors are logged only."""
     stop = threading.Event()

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.types import StructType
 
+from millrace import hooks, stats
 from millrace.operators import batch, core, failure, functions, merge, route
 from millrace.operators.position import with_pos
 from millrace.plans import spec
@@ -76,7 +77,7 @@ def _call(df: DataFrame, order: tuple[str, ...], run: _Run, stage: spec.Call) ->
     if stage.max_failures is not None:
         out = run.alone(out, F.col("_calls"), bad, order, stage.max_failures)
     else:
-        out = run.share(out, F.col("_calls"), bad, order) if run.counted else out.where(~bad)
+        out = run.share(out, F.col("_calls"), bad, order) if run.counted else hooks.watched(out, stage.name, bad).where(~bad)
     return core.emit(out, *names).drop("_error", "_calls", "_seconds"), order
 
 
@@ -151,6 +152,8 @@ def _can_fail(stages) -> bool:
 
 def _stages(p: spec.Pipeline) -> tuple[DataFrame, tuple[str, ...], str | None]:
     df, order, epoch = _source(p.source)
+    if hooks.setting(df.sparkSession, "millrace.diagnostic") == "true" and not df.isStreaming:
+        df = core.first_items(df, int(hooks.setting(df.sparkSession, "millrace.diagnostic.items")), *order)
     df, order = _through(df, order, epoch, 1, p.stages, _Run(p.max_failures, p.on_breach, _can_fail(p.stages)))
     return df, order, epoch
 
@@ -164,6 +167,23 @@ def output_order(p: spec.Pipeline) -> tuple[str, ...]:
     return _stages(p)[1]
 
 
+def figures(p: spec.Pipeline) -> DataFrame:
+    """A row of task statistics (see stats.task_row) for each function stage outside paths, of a run of the pipeline up to it."""
+    df, order, epoch = _source(p.source)
+    run, workers, rows = _Run(p.max_failures, "truncate", _can_fail(p.stages)), 1, []
+    for k, stage in enumerate(p.stages):
+        if isinstance(stage, spec.Call):
+            out = functions.mapped(df, stage.fn, stage.results, item=stage.item, index=f"{stage.name}_index", concurrency=stage.concurrency)
+            rows.append(stats.task_row(out, hooks.stage_name(0, str(k), stage.name, stage.concurrency)))
+        if isinstance(stage, spec.To):
+            workers = 1 if stage.target == spec.MAIN else stage.target
+        else:
+            df, order = _through(df, order, epoch, workers, [stage], run)
+    if not rows:
+        raise ValueError("there is no function stage")
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 def iterate(p: spec.Pipeline, epoch=None) -> Iterator[Row]:
     """The items in order, fetched a partition ahead; of a continuous pipeline, those of one epoch."""
     df, order, column = _stages(p)

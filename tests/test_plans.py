@@ -5,7 +5,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import stats
+from millrace import hooks, stats
 from millrace.operators import functions, merge
 from millrace.plans import compile as plans, loaders, spec
 from millrace.streaming import epochs
@@ -210,3 +210,26 @@ def test_figures_of_a_stage(numbers):
     r = stats.task_row(out, "div").first()
     assert (r["name"], r["num_tasks"], r["num_failures"]) == ("div", 5, 1) and 0 < r["ave_time"] < 1 and r["p90_time"] <= r["p99_time"]
     assert stats.task_row(out.limit(0), "div").first()["ave_time"] == 0
+
+
+def test_figures_of_a_pipeline_and_diagnostic_mode(spark, numbers):
+    b = spec.Builder().add_source(numbers(range(9)), ["ord"]).pipe({"v": F.when(F.col("v") != 4, F.col("v"))})
+    p = b.call(lambda v: v + 1, "w long", item="v", name="one").call(lambda w: 1 // (w - 2), "x long", item="w", name="two", concurrency=2).build()
+    assert [(r["name"], r["num_tasks"], r["num_failures"]) for r in plans.figures(p).collect()] == [("0:1:one", 8, 0), ("0:2:two[2]", 8, 1)]
+    spark.conf.set("millrace.diagnostic", "true")
+    spark.conf.set("millrace.diagnostic.items", "3")
+    try:
+        assert [r["x"] for r in plans.iterate(p)] == [-1, 1]
+    finally:
+        spark.conf.unset("millrace.diagnostic")
+        spark.conf.unset("millrace.diagnostic.items")
+
+
+def test_function_stages_are_observed_on_request(spark, numbers):
+    spark.conf.set("millrace.stats", "true")
+    try:
+        df = plans.compile_pipeline(spec.Builder().add_source(numbers(range(4)), ["ord"]).call(lambda v: 1 // v, "w long", item="v", name="div").build())
+    finally:
+        spark.conf.unset("millrace.stats")
+    (seen,) = hooks.observations()
+    assert df.count() == 3 and seen.get == {"num_tasks": 4, "num_failures": 1} and not hooks.observations()
