@@ -318,166 +318,6 @@ def route_batched(spark, d):
     return out.select("batch_id", "n", joined().alias("ids"))
 
 
-@query(_EVENT_BATCHES.format(n=96, having="HAVING count(*) = 96"))
-def aggregate_drop_last(spark, d):
-    out = batch.batches(table(spark, d, "events").select("event_id"), 96, EVENT, F.col("event_id"), drop_last=True)
-    return out.select("batch_id", "n", joined().alias("ids"))
-
-
-@query("SELECT event_id AS item FROM events WHERE event_id % 10 <> 3")
-def disaggregate(spark, d):
-    item = F.when(F.col("event_id") % 10 != 3, F.col("event_id"))
-    return batch.unbatch(batch.batches(table(spark, d, "events"), 64, EVENT, item)).select("item")
-
-
-@query(
-    "SELECT pos % 4 AS worker, pos // 4 // 32 AS batch_id, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY pos) AS ids FROM "
-    "(SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events) GROUP BY 1, 2"
-)
-def region_batch(spark, d):
-    p = spec.Builder().add_source(table(spark, d, "events").select("event_id"), EVENT).to(4).aggregate(32, "event_id").to(spec.MAIN).build()
-    return plans.compile_pipeline(p).select("worker", "batch_id", "n", joined().alias("ids"))
-
-
-_FOLD = """
-WITH RECURSIVE rows AS MATERIALIZED (SELECT {group} AS g, {order} AS o, {size}::BIGINT AS s, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS rn,
-    count(*) OVER (PARTITION BY {group}) AS total FROM {table}),
-step AS (
-  SELECT g, rn, total, o, 1::BIGINT AS n, s AS t, s >= {threshold} AS done FROM rows WHERE rn = 1
-  UNION ALL
-  SELECT r.g, r.rn, r.total, r.o, CASE WHEN p.done THEN 1 ELSE p.n + 1 END, CASE WHEN p.done THEN r.s ELSE p.t + r.s END,
-    CASE WHEN p.done THEN r.s ELSE p.t + r.s END >= {threshold}
-  FROM step p JOIN rows r ON r.g = p.g AND r.rn = p.rn + 1
-)
-SELECT {out} row_number() OVER (PARTITION BY g ORDER BY rn) - 1 AS fold_id, n, t AS total, o AS last FROM step WHERE done {flush}
-"""
-
-
-@query(_FOLD.format(group="0", order="doc_id", size="n_chars", table="documents", threshold=20000, out="", flush="OR rn = total"))
-def fold_size_threshold(spark, d):
-    return batch.fold_until(table(spark, d, "documents"), "doc_id", "n_chars", 20000)
-
-
-_DAYS = {"group": "dayofyear(ts)", "order": "event_id", "size": "user_id + 1", "table": "events", "threshold": 2000, "out": "g AS epoch,"}
-
-
-@query(_FOLD.format(**_DAYS, flush="OR rn = total"))
-def fold_flush_per_epoch(spark, d):
-    df = _day(table(spark, d, "events")).withColumn("size", F.col("user_id") + 1)
-    return batch.fold_until(df, "event_id", "size", 2000, within=["epoch"])
-
-
-@query(_FOLD.format(**_DAYS, flush=""))
-def fold_drop_last(spark, d):
-    df = _day(table(spark, d, "events")).withColumn("size", F.col("user_id") + 1)
-    return batch.fold_until(df, "event_id", "size", 2000, within=["epoch"], drop_last=True)
-
-
-@query(
-    "SELECT epoch, pos // 50 AS batch_id, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY pos) AS ids FROM "
-    "(SELECT event_id, dayofyear(ts) AS epoch, row_number() OVER (PARTITION BY dayofyear(ts) ORDER BY event_id) - 1 AS pos FROM events) GROUP BY 1, 2"
-)
-def batch_per_epoch(spark, d):
-    p = spec.Builder().add_source(_day(table(spark, d, "events")).select("event_id", "epoch"), EVENT, epoch="epoch").aggregate(50, "event_id").build()
-    return plans.compile_pipeline(p).select("epoch", "batch_id", "n", joined().alias("ids"))
-
-
-# -- merge and route ---------------------------------------------------------------------------------------
-
-
-def _two(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    return [n, c], [["key"], ["key"]]
-
-
-_TURNS = (
-    "WITH u AS (SELECT n_nationkey::BIGINT AS key, n_name AS name, 0 AS src, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation UNION ALL "
-    "SELECT c_custkey, c_name, 1, row_number() OVER (ORDER BY c_custkey) - 1 FROM customer), "
-    "p AS (SELECT *, row_number() OVER (ORDER BY k, src) - 1 AS pos FROM u {where}) SELECT key, name, pos FROM p {end}"
-)
-
-
-@query("SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
-def merge_bag(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    return merge.bag([c, s])
-
-
-@query(
-    "SELECT key, name, row_number() OVER (ORDER BY src, key) - 1 AS pos FROM (SELECT n_nationkey::BIGINT AS key, n_name AS name, 0 AS src FROM nation "
-    "UNION ALL SELECT c_custkey, c_name, 1 FROM customer)"
-)
-def merge_concat(spark, d):
-    return merge.concat(*_two(spark, d)).select("key", "name", "pos")
-
-
-@query(_TURNS.format(where="", end=""))
-def merge_round_robin(spark, d):
-    return merge.round_robin(*_two(spark, d)).select("key", "name", "pos")
-
-
-@query(_TURNS.format(where="WHERE (k, src) < (SELECT min((len, src)) FROM (SELECT src, count(*) AS len FROM u GROUP BY src))", end=""))
-def merge_round_robin_first_exhaustion(spark, d):
-    return merge.round_robin(*_two(spark, d), stop_after=-1).select("key", "name", "pos")
-
-
-@query(_TURNS.format(where="", end="WHERE pos < 77"))
-def merge_round_robin_n(spark, d):
-    return merge.round_robin(*_two(spark, d), stop_after=77).select("key", "name", "pos")
-
-
-def _values(rows) -> str:
-    return ", ".join(f"({', '.join(map(str, r))})" for r in rows)
-
-
-def _weighted_rows(lengths=(25, 100), weights=(1.0, 3.0), seed=7) -> str:
-    taken, rows = [0, 0], []
-    for p in islice(merge.picks(weights, seed), 2000):
-        if taken[p] < lengths[p]:
-            rows.append((len(rows), p, taken[p]))
-            taken[p] += 1
-    return _values(rows)
-
-
-@query(
-    f"WITH p(pos, src, k) AS (VALUES {_weighted_rows()}), u AS (SELECT n_nationkey::BIGINT AS key, 0 AS src, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation "
-    "UNION ALL SELECT s_suppkey, 1, row_number() OVER (ORDER BY s_suppkey) - 1 FROM supplier) SELECT p.pos::BIGINT AS pos, u.src::INTEGER AS src, u.key FROM p JOIN u USING (src, k)"
-)
-def merge_weighted(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"))
-    return merge.weighted([n, s], [["key"], ["key"]], [1.0, 3.0], seed=7).select("pos", "src", "key")
-
-
-@query(
-    "SELECT dayofyear(ts)::BIGINT AS epoch, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END::INTEGER AS src, count(*) AS items FROM events GROUP BY 1, 2"
-)
-def merge_epoch_barrier(spark, d):
-    e = _day(table(spark, d, "events"))
-    return merge.by_epoch([e.where("event_type = 'purchase'"), e.where("event_type <> 'purchase'")], "epoch")
-
-
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN value * 2 WHEN 'click' THEN value + 100 ELSE value END AS result FROM events WHERE event_type <> 'error'")
-def route_items(spark, d):
-    way = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", 2).otherwise(3)
-    paths = [lambda df: F.col("value") * 2, lambda df: F.col("value") + 100, lambda df: F.lit(None).cast("double"), lambda df: F.col("value")]
-    return route.route_values(table(spark, d, "events"), way, paths, "result").select("event_id", "result")
-
-
-@query(
-    "WITH p AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events), "
-    "r AS (SELECT *, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 0 ELSE 2 END AS way FROM p WHERE event_type <> 'error') "
-    "SELECT pos // 16 AS batch_id, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY way, pos) AS ids FROM r GROUP BY 1"
-)
-def route_batched(spark, d):
-    way = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 0).when(F.col("event_type") == "error", 3).otherwise(2)
-    same = lambda df: F.col("event_id")
-    out = route.route_batched(table(spark, d, "events"), 16, EVENT, way, [same, same, same, lambda df: F.lit(None).cast("long")], "id")
-    return out.select("batch_id", "n", joined().alias("ids"))
-
-
 @query(
     "SELECT item, item * 10 AS result FROM (SELECT o_orderkey AS item FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"
 )
