@@ -257,14 +257,17 @@ def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQ
     hashes, endings, c = hashes[ranked], endings[ranked], c[ranked]
     own = np.argsort(hashes[:most_units])
     units = hashes[:most_units][own]
-    of = exchange(_bigrams(docs, units, n_units), classes)
+    bigrams = _bigrams(docs, units, n_units)
+    of = exchange(bigrams, classes)
+    member = np.zeros((n_units, classes))
+    member[np.arange(n_units), of] = 1
+    # Words that aren't units are in the unit of their ending, so the class bigram follows without another pass.
+    q = member.T @ bigrams @ member
     order = np.argsort(hashes)
     frequent = hashes[order]
     at, own_unit = _find(units, frequent)
-    # Words that aren't units begin in the class of their ending.
     class_of = np.where(own_unit, of[1 + ENDINGS + at] if len(units) else 0, of[1 + endings[order]])
     of = np.concatenate([of[: 1 + ENDINGS], class_of])
-    q = _bigrams(docs, frequent, classes, of)
     for _ in range(ROUNDS if len(frequent) > len(units) else 0):
         of[1 + ENDINGS :][~own_unit] = exchanged(docs, frequent, of, frequent[~own_unit], q)
         q = _bigrams(docs, frequent, classes, of)
