@@ -16,6 +16,9 @@ _WHERE = {
     "op8_toxicity": ("toxicity", None),
     "op9_line_dedup": ("line_dedup", None),
     "op10_cover_tree": ("embedding", None),
+    "op11_fill_in_middle": ("fim", "ORACLE"),
+    "op12_merkle_manifest": ("merkle", "ORACLE"),
+    "op13_best_fit_packing": ("packing", None),
 }
 
 _MODULES = {name: importlib.import_module(f"millrace.llm.{module}") for name, (module, _) in _WHERE.items()}
