@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,20 +26,41 @@ from millrace.llm.words import slices
 
 SIZE = 2048
 END = 0
-CACHED = 1 << 18  # words whose ids a task remembers
+CACHED = 1 << 20  # words whose ids a worker remembers, in all its tasks
 LONGEST = 64  # characters of such a word
+MARKS = ".,;:!?"
+LATIN = "\u0130"  # the first letter whose lower case is not one letter
 
 
 class _Ids(dict):
     """Ids of words, four bytes each. Neither normalisation nor any token of the tokenizer reaches beyond a blank, so the ids of a text are
-    those of its words, one after the other, and a frequent word is tokenised once. What it remembers is bounded."""
+    those of its words, one after the other, and a frequent word is tokenised once. What it remembers is bounded.
+
+    A mark behind a letter or digit is a token of its own. Words without the tokenizer's special strings go through its normaliser, its splitter and
+    its model one by one, which gives the same ids as the whole of it for a fraction of the time. Latin letters below LATIN, lower-cased,
+    are their own normal form, and are never split: they go to the model as the splitter writes them.
+    """
 
     def __init__(self, tokenizer):
         super().__init__({"": b""})
-        self.encode = tokenizer.encode
+        self.encode, self.model = tokenizer.encode, tokenizer.model.tokenize
+        self.normal, self.split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.written = {k: self.split(chr(k))[0][0] for k in range(0x80, ord(LATIN)) if chr(k).isalpha()}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if word.isalpha() and (word.isascii() or max(word) < LATIN):
+            low = word.lower()
+            ids = self[low] if low != word else _packed([t.id for t in self.model(low if low.isascii() else low.translate(self.written))])
+        elif (head := word.rstrip(MARKS)) and head != word and head[-1].isalnum():
+            known = head in self
+            ids = self[head] + self[word[len(head) :]]
+            if not known:  # the first time, the word alone is remembered
+                return ids
+        elif any(s in word for s in self.special):
+            ids = _packed(self.encode(word, add_special_tokens=False).ids)
+        else:
+            ids = _packed([t.id for part, _ in self.split(self.normal(word)) for t in self.model(part)])
         if len(word) <= LONGEST:
             if len(self) > CACHED:
                 self.clear()
@@ -47,6 +69,14 @@ class _Ids(dict):
         return ids
 
 
+#: By tokenizer's file; a worker process runs many tasks.
+_KNOWN: dict[str, _Ids] = {}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def text_ids(text: str, ids: _Ids) -> bytes:
     # The blanks of ASCII; others stay inside words, and are the tokenizer's to find.
     return b"".join(map(ids.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
@@ -59,7 +89,11 @@ def _tokenise(path: str, size: int, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        known, last, width = _Ids(Tokenizer.from_file(path)), np.array([end], "<u4").tobytes(), 4 * size
+        from millrace.llm import packing
+
+        if path not in packing._KNOWN:
+            packing._KNOWN[path] = _Ids(Tokenizer.from_file(path))
+        known, last, width = packing._KNOWN[path], _packed([end]), 4 * size
         for batch, column in slices(batches, "text"):
             rows, start, pieces = [], [], []
             for i, text in enumerate(column.to_pylist()):
