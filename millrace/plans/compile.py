@@ -15,12 +15,15 @@ from millrace import hooks, stats
 from millrace.operators import batch, core, failure, functions, merge, route
 from millrace.operators.position import with_pos
 from millrace.plans import spec
+from millrace.sources import iterables
 
 
-def _source(s: spec.Source | spec.MergeSource) -> tuple[DataFrame, tuple[str, ...], str | None]:
+def _source(s: spec.Source | spec.MergeSource, on_fault: str = "raise") -> tuple[DataFrame, tuple[str, ...], str | None]:
     if isinstance(s, spec.Source):
-        return s.df, s.order, s.epoch
-    compiled = [_stages(p) for p in s.pipelines]
+        # A source of Python iterables marks its faults.
+        df = iterables.delivered(s.df, s.order, on_fault=on_fault) if iterables.FAULT in s.df.columns else s.df
+        return df, s.order, s.epoch
+    compiled = [_stages(p, on_fault) for p in s.pipelines]
     frames, orders = [c[0] for c in compiled], [c[1] for c in compiled]
     epoch = compiled[0][2]
     if callable(s.strategy):
@@ -150,8 +153,8 @@ def _can_fail(stages) -> bool:
     )
 
 
-def _stages(p: spec.Pipeline) -> tuple[DataFrame, tuple[str, ...], str | None]:
-    df, order, epoch = _source(p.source)
+def _stages(p: spec.Pipeline, on_fault: str = "raise") -> tuple[DataFrame, tuple[str, ...], str | None]:
+    df, order, epoch = _source(p.source, on_fault)
     if hooks.setting(df.sparkSession, "millrace.diagnostic") == "true" and not df.isStreaming:
         df = core.first_items(df, int(hooks.setting(df.sparkSession, "millrace.diagnostic.items")), *order)
     df, order = _through(df, order, epoch, 1, p.stages, _Run(p.max_failures, p.on_breach, _can_fail(p.stages)))
@@ -184,9 +187,20 @@ def figures(p: spec.Pipeline) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+def _faults(s: spec.Source | spec.MergeSource) -> Iterator[str]:
+    if isinstance(s, spec.MergeSource):
+        for p in s.pipelines:
+            yield from _faults(p.source)
+    elif iterables.FAULT in s.df.columns:
+        found = iterables.fault(s.df, s.order)
+        if found is not None:
+            yield found
+
+
 def iterate(p: spec.Pipeline, epoch=None) -> Iterator[Row]:
-    """The items in order, fetched a partition ahead; of a continuous pipeline, those of one epoch."""
-    df, order, column = _stages(p)
+    """The items in order, fetched a partition ahead; of a continuous pipeline, those of one epoch. Where a source fails, the items before the fault
+    are delivered, and then the failure is raised."""
+    df, order, column = _stages(p, "truncate")
     if (column is None) != (epoch is None):
         raise ValueError("a continuous pipeline is iterated by epoch, and only such a one")
     if epoch is not None:
@@ -197,6 +211,8 @@ def iterate(p: spec.Pipeline, epoch=None) -> Iterator[Row]:
         if failure.BREACHED in str(e):
             raise failure.PipelineFailure(str(e).split("\n")[0]) from e
         raise
+    for found in _faults(p.source):
+        raise failure.PipelineFailure(f"the source failed: {found}")
 
 
 class Consumer:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.experiments import best_path  # noqa: F401  kept under this name, too
+
 TASK_STATS = "id bigint, timestamp double, name string, num_tasks bigint, num_failures bigint, ave_time double, p90_time double, p99_time double"
 QUEUE_STATS = (
     "id bigint, timestamp double, name string, elapsed double, num_items bigint, ave_put_time double, ave_get_time double, p90_put_time double, "
@@ -207,17 +210,6 @@ def comparison(throughput: Column, step_ms: Column, duration: Column) -> tuple[C
     return kind, F.coalesce(value, F.lit(float("-inf")))
 
 
-def best_path(nodes: DataFrame, most: int = 1000) -> DataFrame:
-    """(parent, child) edges from the root to the node with the least positive duration, of nodes (id, parent_id, duration); one
-    whose parent isn't there is a root. The path is walked by a recursive query of at most `most` steps."""
-    return nodes.sparkSession.sql(
-        "WITH RECURSIVE up(child, parent) MAX RECURSION LEVEL {most} AS ("
-        "SELECT id, parent_id FROM {n} WHERE id = (SELECT min_by(id, struct(duration, id)) FROM {n} WHERE duration > 0) "
-        "UNION ALL SELECT x.id, x.parent_id FROM up JOIN {n} x ON x.id = up.parent) "
-        "SELECT up.parent, up.child FROM up JOIN {n} p ON p.id = up.parent", n=nodes, most=most,
-    )
-
-
 def mean_interval(df: DataFrame, name: str, value: str, quantile: float = 1.96) -> DataFrame:
     """(name, n, mean, low, high): an interval of the mean of repeated runs, of `quantile` standard errors to each side."""
     out = df.groupBy(name).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
@@ -225,6 +217,156 @@ def mean_interval(df: DataFrame, name: str, value: str, quantile: float = 1.96)
     return out.select(name, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+#: Two-sided 95 % quantiles of Student's t by degrees of freedom (fixed values); between them the next lower degrees count, which is the wider interval.
+T95 = {
+    1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 11: 2.201, 12: 2.179, 13: 2.160, 14: 2.145, 15: 2.131, 16: 2.120, 17: 2.110,
+    18: 2.101, 19: 2.093, 20: 2.086, 25: 2.060, 30: 2.042, 40: 2.021, 60: 2.000, 120: 1.980, 1000: 1.962,
+}
+
+
+def t_interval(df: DataFrame, name: str, value: str) -> DataFrame:
+    """(name, n, mean, low, high): the 95 % interval of the mean of repeated runs by Student's t. A single run has no width."""
+    out = df.groupBy(name).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
+    quantile = F.lit(None).cast("double")
+    for degrees, t in sorted(T95.items()):
+        quantile = F.when(F.col("n") - 1 >= degrees, t).otherwise(quantile)
+    half = F.coalesce(quantile * F.col("_s") / F.sqrt("n"), F.lit(0.0))
+    return out.select(name, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
+# -- intervals -------------------------------------------------------------------------------------------------
+
+#: A sketch of durations: counts by steps of their logarithm. A quantile read from it is within ACCURACY of the true one, and sketches of any parts
+#: of the data are merged by adding their counts. Durations up to LEAST seconds share a step.
+ACCURACY = 0.01
+_GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
+LEAST = 1e-9
+
+
+def _step(seconds: Column) -> Column:
+    return F.ceil(F.ln(F.greatest(seconds, F.lit(LEAST))) / math.log(_GAMMA))
+
+
+def _seconds(step: Column) -> Column:
+    """The middle of a step, by which no value in it is missed by more than ACCURACY."""
+    return F.pow(F.lit(_GAMMA), step) * (2 / (1 + _GAMMA))
+
+
+def sketched(calls: DataFrame, name: str, at: str, width: float, seconds: str = "_seconds", failed: str = "_error") -> DataFrame:
+    """(name, bucket, step, n, failures, total) of invocations: counts of successful ones by interval and step of their duration, with the sum of these;
+    failed ones have a null step. Rows of this kind, of any parts of the calls, are merged by summing over name, bucket and step."""
+    ok = F.col(failed).isNull()
+    rows = calls.select(F.col(name).alias("name"), F.floor(F.col(at) / width).alias("bucket"), F.when(ok, _step(F.col(seconds))).alias("step"), F.when(ok, F.col(seconds)).alias("_s"), ok.alias("_ok"))
+    return merged(rows.select("name", "bucket", "step", F.col("_ok").cast("long").alias("n"), (~F.col("_ok")).cast("long").alias("failures"), F.coalesce("_s", F.lit(0.0)).alias("total")))
+
+
+def merged(sketches: DataFrame) -> DataFrame:
+    return sketches.groupBy("name", "bucket", "step").agg(*[F.sum(c).alias(c) for c in ("n", "failures", "total")])
+
+
+def _quantiles(counts: DataFrame, by: list[str], percents: Sequence[int]) -> DataFrame:
+    """by and p90, p99, ... of counts (by, step, n): the value of the step in which the ceil(p / 100 N)-th smallest lies."""
+    order = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = Window.partitionBy(*by)
+    ranked = counts.where("step is not null and n > 0").withColumn("_below", F.sum("n").over(order)).withColumn("_all", F.sum("n").over(total))
+    return ranked.groupBy(*by).agg(*[_seconds(F.min(F.when(F.col("_below") * 100 >= F.col("_all") * p, F.col("step")))).alias(f"p{p}_time") for p in percents])
+
+
+def interval_rows(sketches: DataFrame, width: float) -> DataFrame:
+    """A row of task statistics for each name and interval in which something was called: (name, timestamp, num_tasks, num_failures, ave_time, p90_time,
+    p99_time), timestamp being the interval's end. Figures of the interval alone; 0 where no call of it succeeded."""
+    by = ["name", "bucket"]
+    sums = sketches.groupBy(*by).agg(F.sum("n").alias("_n"), F.sum("failures").alias("num_failures"), F.sum("total").alias("_t"))
+    found = sums.join(_quantiles(sketches, by, (90, 99)), by, "left")
+    return found.select(
+        "name", ((F.col("bucket") + 1) * F.lit(float(width))).alias("timestamp"), (F.col("_n") + F.col("num_failures")).alias("num_tasks"), "num_failures",
+        _ratio(F.col("_t"), F.col("_n")).alias("ave_time"), F.coalesce("p90_time", F.lit(0.0)).alias("p90_time"), F.coalesce("p99_time", F.lit(0.0)).alias("p99_time"),
+    )
+
+
+def running_rows(sketches: DataFrame, width: float) -> DataFrame:
+    """As interval_rows, but of all calls up to the end of each interval: counts are added up over intervals by step, then summed. A name's rows are those of
+    its intervals times its steps, some hundreds each, whatever the number of calls."""
+    by = ["name", "bucket"]
+    so_far = Window.partitionBy("name", "step").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets, steps = sketches.select(*by).distinct(), sketches.groupBy("name", "step").agg(F.min("bucket").alias("_first"))
+    # Each step from its first interval on.
+    grid = buckets.join(steps, "name").where("bucket >= _first").drop("_first")
+    at = sketches.withColumn("_key", F.coalesce("step", F.lit(-(2**31)))).drop("name", "step", "bucket").withColumns({"_name": sketches["name"], "_bucket": sketches["bucket"]})
+    grid = grid.withColumn("_key", F.coalesce("step", F.lit(-(2**31))))
+    full = grid.join(at, (grid["name"] == at["_name"]) & (grid["bucket"] == at["_bucket"]) & (grid["_key"] == at["_key"]), "left")
+    sums = full.select("name", "bucket", "step", *[F.sum(F.coalesce(c, F.lit(0))).over(so_far).alias(c) for c in ("n", "failures", "total")])
+    return interval_rows(sums, width)
+
+
+def lap_rows(running: DataFrame) -> DataFrame:
+    """Running rows with lap_n and lap_mean: what came between one row and the next, from their differences."""
+    good = running.withColumn("_good", F.col("num_tasks") - F.col("num_failures"))
+    return lap(good, "name", "timestamp", "_good", "ave_time").drop("_good")
+
+
+# -- sinks -----------------------------------------------------------------------------------------------------
+
+
 def append(stream: DataFrame, table: str, checkpoint: str):
     """A sink of statistics: each micro-batch is added to a Parquet table, which takes all of it or nothing."""
     return stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+COMMITS = "_committed_batches"
+
+
+def commit_batch(tables: Mapping[str, DataFrame], root: str, batch: int) -> None:
+    """Writes the rows of one batch to several tables below root, all or nothing. Each table gets a folder of the batch; the batch counts once its row
+    is in the table of commits, which is written last. Written again after a failure, a batch replaces its folders; one that
+    has its row is left as it is."""
+    spark = next(iter(tables.values())).sparkSession
+    if _exists(spark, f"{root}/{COMMITS}/at={batch}/_SUCCESS"):
+        return
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+    spark.range(1).selectExpr(f"cast({batch} as long) batch").coalesce(1).write.mode("overwrite").parquet(f"{root}/{COMMITS}/at={batch}")
+
+
+def _exists(spark, path: str) -> bool:
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def committed(spark, root: str, name: str, schema: str) -> DataFrame:
+    """The rows of a table below root, of those batches that count, with batch. An empty one where there is none."""
+    if not _exists(spark, f"{root}/{COMMITS}") or not _exists(spark, f"{root}/{name}"):
+        return spark.createDataFrame([], f"{schema}, batch long")
+    rows = spark.read.schema(f"{schema}, batch long").option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+    done = spark.read.schema("batch long").parquet(f"{root}/{COMMITS}").select("batch")
+    return rows.join(done, "batch", "left_semi")
+
+
+def sink(stream: DataFrame, root: str, checkpoint: str, split: Mapping[str, Callable[[DataFrame], DataFrame]]):
+    """A sink of statistics in several tables: every micro-batch of the stream is split into rows of each, and committed to all of them together."""
+
+    def each(df: DataFrame, batch: int) -> None:
+        kept = df.persist()
+        try:
+            commit_batch({name: part(kept) for name, part in split.items()}, root, batch)
+        finally:
+            kept.unpersist()
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Entries of a log of all three kinds in one stream: what entry_tables() splits.
+ENTRIES = "kind string, timestamp double, name string, num_tasks bigint, num_failures bigint, ave_time double, p90_time double, p99_time double, elapsed double, num_items bigint, ave_put_time double, ave_get_time double, p90_put_time double, p99_put_time double, p90_get_time double, p99_get_time double, occupancy_rate double"
+
+
+def entry_tables() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The three tables of a log of entries (ENTRIES) whose kind is 'task', 'queue' or 'event'; other kinds fail the batch. id is left to the reader, by
+    timestamp and name."""
+    names = lambda schema: [c.split()[0] for c in schema.split(", ") if c.split()[0] not in ("id", "event_name")]
+    known = F.when(~F.coalesce(F.col("kind").isin("task", "queue", "event"), F.lit(False)), F.raise_error(F.concat(F.lit("unknown kind of entry: "), F.coalesce("kind", F.lit("null")))).cast("boolean")).otherwise(True)
+    return {
+        "task_stats": lambda df: df.where(known).where("kind = 'task'").select(*names(TASK_STATS)),
+        "queue_stats": lambda df: df.where(known).where("kind = 'queue'").select(*names(QUEUE_STATS)),
+        "event_stats": lambda df: df.where(known).where("kind = 'event'").select("timestamp", F.col("name").alias("event_name")),
+    }
