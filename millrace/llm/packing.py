@@ -4,8 +4,9 @@
 2. Pieces are counted by length: that table has as many rows as a sequence has tokens at most, whatever the input.
 3. The plan is made of these counts. A sequence is filled greedily, each time with the longest piece that fits. Is there a gap left, its smallest
    piece gives way to two unpacked pieces that fit the widened gap more tightly. As long as pieces of all lengths that it takes are left,
-   the next sequence comes out the same, so it is taken at once as often as they last; each round uses up a length. The plan is that of a
-   run over all pieces, one after the other, and has at most as many rounds as there are lengths.
+   the next sequence comes out the same, so it is taken at once as often as they last. After each round less of some length is left than a
+   sequence took, so there are at most size // length rounds for each length, whatever the input: 16,000 in all for 2,048 tokens, some 1,600 in
+   use. The plan is that of a run over all pieces, one after the other.
 4. Pieces are numbered within their length (millrace.llm.ranks), and their number is looked up in the plan: no pieces but their
    counts meet in one place.
 """
@@ -193,8 +194,8 @@ def _table(rounds: list[Round]) -> list[tuple[int, int, int, int, int, int]]:
 def packed(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """pieces without ids, with sequence_id and offset: each piece's sequence and its place there. Sequences are gapless from 0 on.
 
-    What the driver sees is the number of pieces of each length, `size` rows at most; the plan, which all tasks get, is bounded by it: at most
-    `size` rounds, of distinct lengths whose sum is within a sequence, 63 of them for 2,048 tokens.
+    What the driver sees is the number of pieces of each length, `size` rows at most; the plan, which all tasks get, is bounded by it: size // length
+    rounds for each length at most, each with distinct lengths whose sum is within a sequence (63 of them for 2,048 tokens).
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
