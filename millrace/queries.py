@@ -11,7 +11,7 @@ from itertools import islice
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace import stats
+from millrace import experiments, stats
 from millrace.functions import arrays, filters
 from millrace.operators import batch, core, failure, functions, merge, route, sample
 from millrace.operators.position import with_pos
@@ -674,10 +674,7 @@ def loader_collate(spark, d):
 def tree_levels(spark, d):
     """Breadth-first levels of a tree of experiments: a row for each node, parents first."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 50 != 0, F.floor(F.col("p_partkey") / 3)).alias("parent"))
-    return spark.sql(
-        "WITH RECURSIVE l(id, depth) MAX RECURSION LEVEL 1000 AS (SELECT id, 0 FROM {t} WHERE parent IS NULL UNION ALL SELECT x.id, l.depth + 1 FROM l JOIN {t} x ON x.parent = l.id) "
-        "SELECT id, depth FROM l", t=part,
-    )
+    return experiments.levels(part.withColumnRenamed("parent", "parent_id")).select("id", "depth")
 
 
 @query(
@@ -712,7 +709,7 @@ def best_experiment_path(spark, d):
         F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.floor((F.col("p_partkey") - 1) / 2)).alias("parent_id"),
         F.when(F.col("p_partkey") % 7 == 3, 5000 - F.col("p_retailprice")).otherwise(-1).alias("duration"),
     )
-    return stats.best_path(part)
+    return experiments.best_path(part)
 
 
 # -- functions, formats and the rest ---------------------------------------------------------------------------
@@ -798,10 +795,10 @@ def tar_table(spark, d):
     return members.select("member", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
 
 
-@query("SELECT event_id, 1::BIGINT AS num_channels, 8000::BIGINT AS sample_rate, 2 * (user_id + 1) AS data_size FROM events WHERE event_id < 500")
+@query("SELECT event_id, 1::BIGINT AS num_channels, 8000::BIGINT AS sample_rate, 2 * (user_id + 1) AS data_size FROM events")
 def wav_headers(spark, d):
     silence = lambda u: media.encode_wav(np.zeros((u + 1, 1), np.int16), 8000)
-    some = table(spark, d, "events").where("event_id < 500").select("event_id", "user_id")
+    some = table(spark, d, "events").select("event_id", "user_id")
     files = functions.mapped(some, silence, "content binary", item="user_id")
     heads = formats.wav_header_table(files.select(F.col("event_id").cast("string").alias("path"), "content"))
     return heads.select(F.col("path").cast("long").alias("event_id"), "num_channels", "sample_rate", "data_size")

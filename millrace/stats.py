@@ -292,9 +292,9 @@ def running_rows(sketches: DataFrame, width: float) -> DataFrame:
     buckets, steps = sketches.select(*by).distinct(), sketches.groupBy("name", "step").agg(F.min("bucket").alias("_first"))
     # Each step from its first interval on.
     grid = buckets.join(steps, "name").where("bucket >= _first").drop("_first")
-    at = sketches.withColumn("_key", F.coalesce("step", F.lit(-(2**31)))).drop("name", "step", "bucket").withColumns({"_name": sketches["name"], "_bucket": sketches["bucket"]})
-    grid = grid.withColumn("_key", F.coalesce("step", F.lit(-(2**31))))
-    full = grid.join(at, (grid["name"] == at["_name"]) & (grid["bucket"] == at["_bucket"]) & (grid["_key"] == at["_key"]), "left")
+    key = F.coalesce("step", F.lit(-(2**62))).alias("_key")
+    at = sketches.select("name", "bucket", key, "n", "failures", "total")
+    full = grid.select("*", key).join(at, ["name", "bucket", "_key"], "left")
     sums = full.select("name", "bucket", "step", *[F.sum(F.coalesce(c, F.lit(0))).over(so_far).alias(c) for c in ("n", "failures", "total")])
     return interval_rows(sums, width)
 
