@@ -463,3 +463,22 @@ def described_packets(spark, d):
     inside = filters.before((F.col("event_id"), F.lit(1000)), (F.lit(num), F.lit(den)))
     described = filters.filter_for(kind, filters.audio_filter(sample_rate=F.col("user_id") + 8000), filters.video_filter(pix_fmt=F.lit("rgb24")))
     return table(spark, d, "events").select("event_id", inside.alias("inside"), described.alias("filter"))
+
+
+def _channel(u: str, v: str) -> str:
+    """A pixel's channel in 32 bits, cut off."""
+    return f"greatest(0, least(255, trunc(1.1644::REAL * (y - 16)::REAL + {u}::REAL * u::REAL + {v}::REAL * v::REAL)))::INTEGER"
+
+
+@query(
+    "WITH p AS (SELECT event_id, (event_id * 37 % 256)::INTEGER AS y, (user_id * 11 % 256)::INTEGER - 128 AS u, (event_id * 5 % 256)::INTEGER - 128 AS v FROM events) "
+    f"SELECT event_id, {_channel('0', '1.6325')} AS r, {_channel('(-0.4007)', '(-0.8315)')} AS g, {_channel('2.0633', '0')} AS b FROM p"
+)
+def nv12_pixels(spark, d):
+    """Each event as a frame of four equal pixels in NV12, converted by the sixth matrix."""
+    def rgb(r):
+        frame = np.array([[r["y"]] * 2, [r["y"]] * 2, [r["u"], r["v"]]], np.uint8)
+        return dict(zip("rgb", arrays.nv12_to_rgb(frame, 6)[0, :, 0, 1].tolist(), strict=True))
+
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") * 37 % 256).alias("y"), (F.col("user_id") * 11 % 256).alias("u"), (F.col("event_id") * 5 % 256).alias("v"))
+    return functions.mapped(e, rgb, "r int, g int, b int").select("event_id", "r", "g", "b")

@@ -30,18 +30,26 @@ def labels(ids: Column, mask: Column) -> Column:
     return F.zip_with(ids, mask, lambda i, m: F.when(m == 1, i).otherwise(IGNORED))
 
 
-#: Luma weights of red and blue by colour matrix (fixed values of the video standards).
-LUMA = {
-    "bt709": (0.2126, 0.0722), "fcc": (0.30, 0.11), "bt470": (0.299, 0.114), "smpte240m": (0.212, 0.087), "bt2020": (0.2627, 0.0593),
+#: Fixed values, by matrix: luma's factor, then red by v, green by u and v, blue by u; in the order of the standards' numbers from 1 on.
+YUV_TO_RGB = {
+    "bt709": (1.1644, 1.8337, -0.2181, -0.5451, 2.1606),
+    "unspecified": (1.1644, 1.8337, -0.2181, -0.5451, 2.1606),
+    "reserved": (1.1644, 1.8337, -0.2181, -0.5451, 2.1606),
+    "fcc": (1.1644, 1.6301, -0.3864, -0.8289, 2.0726),
+    "bt470": (1.1644, 1.6325, -0.4007, -0.8315, 2.0633),
+    "bt601": (1.1644, 1.6325, -0.4007, -0.8315, 2.0633),
+    "smpte240m": (1.1644, 1.8351, -0.2639, -0.5550, 2.1262),
+    "ycgco": (1.1644, 1.8337, -0.2181, -0.5451, 2.1606),
+    "bt2020": (1.1689, 1.7237, -0.1924, -0.6679, 2.1992),
+    "bt2020c": (1.1689, 1.7237, -0.1924, -0.6679, 2.1992),
 }
-#: Names that mean the same weights, in the order of the standards' numbers from 1 on.
-MATRICES = ("bt709", "unspecified", "reserved", "fcc", "bt470", "bt601", "smpte240m", "ycgco", "bt2020", "bt2020c")
-SAME = {"unspecified": "bt709", "reserved": "bt709", "bt601": "bt470", "ycgco": "bt709", "bt2020c": "bt2020"}
+MATRICES = tuple(YUV_TO_RGB)
 
 
 def nv12_to_rgb(frames: np.ndarray, matrix: str | int = "bt709", *, bgr: bool = False, full_range: bool = False) -> np.ndarray:
     """Frames [N, H * 3 / 2, W] of 8-bit NV12 as [N, 3, H, W]: a plane of luma, then half-size interleaved chroma. matrix: a name of
-    MATRICES, or its number from 1 on; other numbers mean bt709."""
+    MATRICES, or its number from 1 on; other numbers mean bt709. Computed in 32 bits and cut off, not rounded. full_range: luma goes from 0
+    to 255 instead of from 16 to 235, and nothing is stretched."""
     if frames.ndim == 2:
         frames = frames[None]
     n, rows, width = frames.shape
@@ -50,18 +58,17 @@ def nv12_to_rgb(frames: np.ndarray, matrix: str | int = "bt709", *, bgr: bool =
     height = rows * 2 // 3
     if isinstance(matrix, int):
         matrix = MATRICES[matrix - 1] if 1 <= matrix <= len(MATRICES) else "bt709"
-    kr, kb = LUMA[SAME.get(matrix, matrix)]
-    kg = 1 - kr - kb
-    y = frames[:, :height].astype(np.float64)
-    uv = frames[:, height:].reshape(n, height // 2, width // 2, 2).astype(np.float64) - 128
+    luma, rv, gu, gv, bu = np.array(YUV_TO_RGB[matrix], np.float32)
+    y = frames[:, :height].astype(np.float32)
+    uv = frames[:, height:].reshape(n, height // 2, width // 2, 2).astype(np.float32) - np.float32(128)
     u, v = (np.repeat(np.repeat(uv[..., k], 2, 1), 2, 2) for k in (0, 1))
-    if not full_range:
-        y, u, v = (y - 16) * 255 / 219, u * 255 / 224, v * 255 / 224
-    r = y + 2 * (1 - kr) * v
-    b = y + 2 * (1 - kb) * u
-    g = (y - kr * r - kb * b) / kg
+    if full_range:
+        rv, gu, gv, bu = (c / luma for c in (rv, gu, gv, bu))
+    else:
+        y = (y - np.float32(16)) * luma
+    r, g, b = y + rv * v, y + gu * u + gv * v, y + bu * u
     planes = (b, g, r) if bgr else (r, g, b)
-    return np.clip(np.rint(np.stack(planes, 1)), 0, 255).astype(np.uint8)
+    return np.clip(np.stack(planes, 1), 0, 255).astype(np.uint8)
 
 
 def keyframe_cuts(is_key: Column) -> Column:

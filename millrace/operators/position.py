@@ -16,6 +16,18 @@ def _bounds(df: DataFrame, keys: list[str], n: int) -> list:
     return [rows[i * len(rows) // n] for i in range(1, n)] if len(rows) >= n else rows[1:]
 
 
+def _not_above(ascending: Column, n: int, value: Column) -> Column:
+    """How many of n ascending values are not above this one: as many comparisons as n has binary digits."""
+    between = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
+
+    def halved(x: Column, _: Column) -> Column:
+        middle = F.shiftright(x["low"] + x["high"], 1)
+        below = (x["low"] < x["high"]) & (F.get(ascending, middle) <= value)
+        return F.struct(F.when(below, middle + 1).otherwise(x["low"]).alias("low"), F.when(below, x["high"]).otherwise(F.least(middle, x["high"])).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), between, halved, lambda x: x["low"])
+
+
 def with_pos(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -44,9 +56,8 @@ def with_pos(
         return F.struct(*[F.lit(row[i]).cast(df.schema[k].dataType).alias(f"k{i}") for i, k in enumerate(keys)])
 
     own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    # A row's range: how many bounds are not above its keys. Structs compare key by key, nulls first, as rows are sorted.
-    at = F.size(F.filter(F.array(*[literal(b) for b in bounds]), lambda b: b <= own))
-    dealt = df.withColumn("_range", at)
+    # A row's range: how many bounds are not above its keys, by binary search. Structs compare key by key, nulls first, as rows are sorted.
+    dealt = df.withColumn("_range", _not_above(F.array(*[literal(b) for b in bounds]), len(bounds), own))
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))  # one row for each range
