@@ -12,16 +12,21 @@ def held_out(doc_id: Column | str, folds: int) -> Column:
 
 
 def bounded(df: DataFrame, key: str, most: int, salt: int) -> DataFrame:
-    """At most `most` rows of df, those whose key hashes lowest, without a sort: hashes fall into steps of about 1 %, and as
-    many of the lowest steps are taken as fit. Collects the sizes of at most 4,096 steps. The same in every run."""
+    """`most` rows of df, or all where there are no more: those whose key hashes lowest. Hashes fall into steps of about 1 %; as many of the lowest
+    steps are taken as fit, and of the next one the rows that are left to take, in order of hash and columns, so that a key of any number of
+    rows cuts nothing off. Collects the sizes of at most 4,096 steps. The same in every run."""
     place = F.xxhash64(key, F.lit(salt)).bitwiseAND(F.lit((1 << 62) - 1)) + 1
     step = F.floor(F.log2(place.cast("double")) * 64)
-    taken, last = 0, -1
+    taken, last, more = 0, -1, None
     for k, n in sorted(df.groupBy(step.alias("step")).count().collect()):
         if taken + n > most:
+            more = k
             break
         taken, last = taken + n, k
-    return df.where(step <= last)
+    whole = df.where(step <= last)
+    if more is None or taken == most:
+        return whole
+    return whole.unionByName(df.where(step == more).orderBy(place, *[f"`{c}`" for c in df.columns]).limit(most - taken))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, most: dict[float, int]) -> DataFrame:
