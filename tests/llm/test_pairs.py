@@ -250,6 +250,30 @@ def test_recall_by_length_and_changes(spark):
         assert sum(found) >= 0.95 * len(found), (c, sum(found), len(found))
 
 
+def test_recall_in_a_large_vocabulary(spark):
+    """The same where there are more words than any table of fixed size holds, and words are replaced by new ones or by known ones."""
+    rng = random.Random(18)
+    vocabulary = [f"v{i:x}" for i in range(400_000)]
+    usual = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    filler = [" ".join(vocabulary[k : k + 40]) for k in range(0, len(vocabulary), 40)]
+    cells = [(n, k, new) for n, k in ((10, 2), (24, 4), (30, 6), (60, 12), (100, 20)) for new in (True, False)]
+    lines, cell = [], []
+    for n, k, new in cells:
+        for _ in range(60):
+            w = [rng.choice(usual if rng.random() < 0.4 else vocabulary) for _ in range(n)]
+            other = list(w)
+            for at in rng.sample(range(n), k):
+                other[at] = f"n{rng.getrandbits(60):x}" if new else rng.choice(vocabulary)
+            lines += [" ".join(w), " ".join(other)]
+            cell.append((n, k, new))
+    df = spark.createDataFrame(list(enumerate([*lines, *filler])), "doc_id long, text string").repartition(4)
+    got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
+    assert not any(got[2 * i] for i in range(len(cell)))
+    for c in cells:
+        found = [got[2 * i + 1] for i in range(len(cell)) if cell[i] == c]
+        assert sum(found) >= 0.9 * len(found), (c, sum(found), len(found))
+
+
 def test_very_long_lines(spark):
     long = [f"w{i}" for i in range(30_000)]
     near = [*long[:100], "put", "in", *long[100:20_000], *long[20_003:]]
