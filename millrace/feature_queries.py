@@ -17,7 +17,7 @@ from millrace.operators import batch, core, functions, sample, weighted
 from millrace.operators.position import with_pos
 from millrace.queries import EVENT, joined, query
 from millrace.session import table
-from millrace.sources import files, formats, iterables, media, packets, ranges
+from millrace.sources import codecs, files, formats, iterables, media, packets, ranges
 from millrace.streaming import epochs, replay, state
 from millrace.tables import cut, new_path
 
@@ -105,23 +105,45 @@ def _number(path: str) -> F.Column:
     return F.regexp_extract(path, r"(\d+)\.\w+$", 1).cast("long")
 
 
+def _audio(spark, d) -> DataFrame:
+    """(user_id, content): a user's events as WAV files."""
+    def audio(r):
+        values = np.array([(7 * v + np.arange(300)) % 1000 for v in r["values"]], np.int16)
+        return media.encode_wav(values.reshape(-1, 1), 8000)
+
+    values = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.floor("value").alias("v")))), lambda x: x["v"])
+    return functions.mapped(table(spark, d, "events").groupBy("user_id").agg(values.alias("values")), audio, "content binary")
+
+
 @query(
     "WITH p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), r AS (SELECT user_id, i * 300 + k AS i, (floor(value)::BIGINT * 7 + k) % 1000 AS v FROM p, range(300) t(k)) "
     "SELECT user_id, i // 1024 AS chunk, i // 1024 * 1024 AS start, count(*) AS n, sum(v)::BIGINT AS total FROM r GROUP BY 1, 2"
 )
 def wav_chunks(spark, d):
     """A user's events as audio, written as WAV files and read in chunks of a packet."""
-    def audio(r):
-        values = np.array([(7 * v + np.arange(300)) % 1000 for v in r["values"]], np.int16)
-        return media.encode_wav(values.reshape(-1, 1), 8000)
-
-    values = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.floor("value").alias("v")))), lambda x: x["v"])
-    users = functions.mapped(table(spark, d, "events").groupBy("user_id").agg(values.alias("values")), audio, "content binary")
+    users = _audio(spark, d)
     chunks = ranges.wav_chunks(_files(users.select(F.concat("user_id", F.lit(".wav")).alias("name"), "content"), "wav"), num_packets=1)
     sums = functions.mapped(chunks.where("error is null"), lambda t: {"n": t["shape"][0], "total": int(formats.from_tensor(t).sum(dtype=np.int64))}, "n long, total long", item="tensor")
     return sums.select(_number("path").alias("user_id"), "chunk", "start", "n", "total")
 
 
+@query(
+    "WITH p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), r AS (SELECT user_id, i * 300 + k AS i, (floor(value)::BIGINT * 7 + k) % 1000 AS v FROM p, range(300) t(k)) "
+    "SELECT user_id, i // 3072 AS chunk, (max(i) // 1024 - min(i) // 1024 + 1)::BIGINT AS packets, count(*) AS n, sum(v)::BIGINT AS total FROM r GROUP BY 1, 2"
+)
+def streamed_packets(spark, d):
+    """The same audio demuxed in chunks of three packets, which pass through records, and decoded."""
+    audio = _audio(spark, d).select(F.col("user_id").cast("string").alias("path"), "content")
+    chunks = codecs.streaming_demuxed(audio, "audio", num_packets=3).where("error is null")
+    stored = chunks.select(F.concat_ws("#", "path", "chunk").alias("path"), packets.serialised(F.col("packets")).alias("record"))
+    back = stored.select("path", packets.deserialised(F.col("record"), "audio")["packets"].alias("packets"))
+    sums = functions.mapped(
+        codecs.decoded_packets(back, "audio"), lambda t: {"n": t["shape"][0], "total": int(formats.from_tensor(t).sum(dtype=np.int64))}, "n long, total long", item="tensor"
+    )
+    key = F.split("path", "#")
+    return sums.select(key[0].cast("long").alias("user_id"), key[1].cast("long").alias("chunk"), F.ceil(F.col("n") / 1024).alias("packets"), "n", "total")
+
+
 def _archives(spark, d, dump, suffix: str) -> DataFrame:
     """Pages in archives of up to 20."""
     pages = table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))

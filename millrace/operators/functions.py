@@ -9,7 +9,7 @@ from __future__ import annotations
 import asyncio
 import inspect
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from millrace.hooks import TaskHook, around, hooked
+
 
 def kind_of(fn) -> str:
     """How fn is to be run: 'plain', 'generator', 'async', 'async generator', or 'lookup' for what is indexed, not called."""
@@ -92,14 +94,16 @@ def _run(fn, kind: str, items: list, concurrency: int) -> list[Outcome]:
         return list(pool.map(lambda x: call(target, x), items))
 
 
-def mapped(df: DataFrame, fn, results: str, *, item: str | None = None, index: str | None = None, concurrency: int = 1) -> DataFrame:
+def mapped(df: DataFrame, fn, results: str, *, item: str | None = None, index: str | None = None, concurrency: int = 1, hooks: Sequence[TaskHook] = ()) -> DataFrame:
     """df with the result columns (a DDL string), _error, _calls, the number of invocations the row stands for, and _seconds, which they took.
 
     fn gets the value of the column `item`, or the row as a dict, and gives a value (for one result column) or a dict. A generator
     gives any number of rows, told apart by `index`; its last invocation, which ends it, is a row without results. None
-    gives a row without results, which core.emit drops. Up to `concurrency` items of a batch are under way at once.
+    gives a row without results, which core.emit drops. Up to `concurrency` items of a batch are under way at once. hooks
+    run around invocations and tasks, see millrace.hooks.
     """
     kind, kinds = kind_of(fn), StructType.fromDDL(results)
+    fn, kind = hooked(fn, kind, hooks)
     names = [f.name for f in kinds.fields]
     many = kind.endswith("generator")
     if many and not index:
@@ -118,6 +122,10 @@ def mapped(df: DataFrame, fn, results: str, *, item: str | None = None, index: s
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with around(hooks, stage=True):
+            yield from each(batches)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             found = _run(fn, kind, rows if item is None else [r[item] for r in rows], concurrency)

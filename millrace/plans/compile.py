@@ -70,9 +70,16 @@ def _pipes(df: DataFrame, order: tuple[str, ...], run: _Run, stages: list[spec.P
     return run.share(df, F.col("_tried"), F.col("_bad"), order).where("_alive").drop("_alive", "_tried", "_bad", "_now")
 
 
+def _hooks(stage: spec.Call) -> tuple:
+    if stage.hooks is not None:
+        return tuple(stage.hooks)
+    make = hooks.default("hooks")
+    return tuple(make(stage.name)) if make is not None else ()
+
+
 def _call(df: DataFrame, order: tuple[str, ...], run: _Run, stage: spec.Call) -> tuple[DataFrame, tuple[str, ...]]:
     index = f"{stage.name}_index"
-    out = functions.mapped(df, stage.fn, stage.results, item=stage.item, index=index, concurrency=stage.concurrency)
+    out = functions.mapped(df, stage.fn, stage.results, item=stage.item, index=index, concurrency=stage.concurrency, hooks=_hooks(stage))
     if index in out.columns:
         order = (*order, index)
     bad = F.col("_error").isNotNull()
@@ -163,9 +170,16 @@ def _stages(p: spec.Pipeline, on_fault: str = "raise") -> tuple[DataFrame, tuple
 
 def compile_pipeline(p: spec.Pipeline) -> DataFrame:
     """The pipeline's output. Its order is data: see output_order()."""
+    _built(p)
     return _stages(p)[0]
 
 
+def _built(p: spec.Pipeline) -> None:
+    callback = hooks.default("build_callback")
+    if callback is not None:
+        callback(p)
+
+
 def output_order(p: spec.Pipeline) -> tuple[str, ...]:
     return _stages(p)[1]
 
@@ -200,6 +214,7 @@ def _faults(s: spec.Source | spec.MergeSource) -> Iterator[str]:
 def iterate(p: spec.Pipeline, epoch=None) -> Iterator[Row]:
     """The items in order, fetched a partition ahead; of a continuous pipeline, those of one epoch. Where a source fails, the items before the fault
     are delivered, and then the failure is raised."""
+    _built(p)
     df, order, column = _stages(p, "truncate")
     if (column is None) != (epoch is None):
         raise ValueError("a continuous pipeline is iterated by epoch, and only such a one")
@@ -226,6 +241,7 @@ class Consumer:
         self._p, self._epochs = p, None if epochs is None else iter(epochs)
         self._items: queue.Queue = queue.Queue(p.sink.buffer_size)
         self._stopped, self._thread = threading.Event(), None
+        self._beside: list = []  # what ends the background tasks
 
     def _put(self, kind: str, x=None) -> None:
         while not self._stopped.is_set():
@@ -245,6 +261,8 @@ class Consumer:
             self._put("error", e)
 
     def start(self) -> Consumer:
+        if not self._beside:
+            self._beside = [hooks.background(task) for task in hooks.default("background_tasks")]
         if self._thread is None:
             epoch = None if self._epochs is None else next(self._epochs)
             self._thread = threading.Thread(target=self._fetch, args=(epoch,), daemon=True)
@@ -255,6 +273,9 @@ class Consumer:
         self._stopped.set()
         if self._thread is not None:
             self._thread.join(10)
+        for end in self._beside:
+            end()
+        self._beside = []
 
     __enter__ = start
 

@@ -104,6 +104,7 @@ class Call(Stage):
     concurrency: int = 1
     max_failures: int | Fraction | None = None
     name: str = "call"
+    hooks: tuple | None = None  # millrace.hooks.TaskHook objects; None means the default ones
 
     def __post_init__(self):
         _positive(self.concurrency, "concurrency")
