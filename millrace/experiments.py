@@ -6,8 +6,10 @@ round joins every node's ancestor with that one's own, so a tree of any depth ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.operators.position import with_pos
+from millrace.sources.files import json_lines
 from millrace.tables import cut, drop
 
 
@@ -68,6 +70,34 @@ def best_path(nodes: DataFrame) -> DataFrame:
     return on.join(found.select(F.col("id").alias("_id")), F.col("up") == F.col("_id")).select(F.col("up").alias("parent"), F.col("id").alias("child"))
 
 
+NODE_ERROR = "struct<kind:string,phase:string,message:string,retryable:boolean,details:map<string,string>,exception_type:string,job_id:string,created_at:string>"
+#: A node of a log of experiments.
+NODE = (
+    "node_id string, name string, parent_id string, commit string, spec map<string,string>, status string, job_id string, launched_at double, result map<string,string>, "
+    f"children array<string>, priority double, duration double, failure {NODE_ERROR}"
+)
+
+
+def read_nodes(spark, paths: list[str]) -> DataFrame:
+    """The nodes of a log of JSON lines, one for each node: the last of its lines, by path and line. Missing fields are null."""
+    rows = json_lines(spark, paths, NODE)
+    last = rows.groupBy("node_id").agg(F.max_by(F.struct(*rows.columns), F.struct("path", "line")).alias("r"))
+    return last.select("r.*").drop("path", "line").where("node_id is not null")
+
+
+def new_best(nodes: DataFrame, order: str, value: Column) -> DataFrame:
+    """nodes with improved: is a valid node's value above that of all valid ones before it. Nodes that failed, or have no value, are never an
+    improvement. The best so far is found in blocks of the order and carried over them."""
+    placed = with_pos(nodes.withColumn("_v", F.when(F.col("failure").isNull(), value.cast("double"))), [order], "_pos").withColumn("_block", F.floor(F.col("_pos") / 65536))
+    tops = placed.groupBy("_block").agg(F.max("_v").alias("_top"))
+    blocks = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for 65,536 nodes
+    tops = tops.select("_block", F.max("_top").over(blocks).alias("_before"))
+    inside = Window.partitionBy("_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    both = placed.withColumn("_here", F.max("_v").over(inside)).join(tops, "_block")
+    best = F.greatest("_before", "_here")  # nulls are passed over
+    return both.withColumn("improved", F.coalesce(F.col("_v").isNotNull() & (best.isNull() | (F.col("_v") > best)), F.lit(False))).drop("_v", "_pos", "_block", "_here", "_before")
+
+
 def repeated_proposals(nodes: DataFrame, order: str, changes: str, failed: Column) -> DataFrame:
     """(node, first) for each row of nodes whose set of changes (an array, compared without order or repetition) was proposed before, by a node that
     didn't fail. Failed nodes are neither repeats nor what is repeated; null or empty sets repeat nothing."""

@@ -457,6 +457,26 @@ def repeated_proposals(spark, d):
     return experiments.repeated_proposals(o, "o_orderkey", "changes", F.col("o_orderstatus") == "F")
 
 
+@query(
+    "WITH n AS (SELECT event_id AS id, CASE WHEN event_id % 10 > 0 THEN event_id // 10 END AS parent, value AS duration, event_type = 'error' AS failed FROM events WHERE user_id % 3 > 0), "
+    "b AS (SELECT *, max(CASE WHEN NOT failed THEN -duration END) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM n) "
+    "SELECT id::VARCHAR AS node_id, parent::VARCHAR AS parent_id, duration, CASE WHEN failed THEN 'error' END AS kind, NOT failed AND (best IS NULL OR -duration > best) AS improved FROM b"
+)
+def experiment_log(spark, d):
+    """Nodes logged as JSON lines, each as it is queued and again as it ends, read back, with those that were the best so far."""
+    e = table(spark, d, "events").where("user_id % 3 > 0")
+    text = lambda c: c.cast("string")
+    first = e.select(text(F.col("event_id")).alias("node_id"), F.lit("queued").alias("status"))
+    error = F.when(F.col("event_type") == "error", F.struct(F.col("event_type").alias("kind"), F.lit(False).alias("retryable")))
+    parent = F.when(F.col("event_id") % 10 > 0, text(F.floor(F.col("event_id") / 10)))
+    last = e.select(text(F.col("event_id")).alias("node_id"), parent.alias("parent_id"), F.lit("done").alias("status"), F.col("value").alias("duration"), error.alias("failure"))
+    root = new_path(spark, "nodes")
+    for k, rows in enumerate((first, last)):
+        rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{root}/{k}")
+    nodes = experiments.read_nodes(spark, [f"{root}/0", f"{root}/1"]).withColumn("_id", F.col("node_id").cast("long"))
+    return experiments.new_best(nodes, "_id", -F.col("duration")).select("node_id", "parent_id", "duration", F.col("failure.kind").alias("kind"), "improved")
+
+
 # -- loaders and descriptions ----------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ import inspect
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +37,8 @@ def kind_of(fn) -> str:
     return "plain"
 
 
+SENT = 1024  # results of a generator that are sent on at once
+
 #: What an item came to: its results, the seconds up to each of them and to the end, and the error that ended it, if one did.
 Outcome = tuple[list, list[float], str | None]
 
@@ -125,9 +128,27 @@ def mapped(df: DataFrame, fn, results: str, *, item: str | None = None, index: s
         with around(hooks, stage=True):
             yield from each(batches)
 
+    def streamed(rows: list[dict]) -> Iterator[dict]:
+        """A generator's results one by one: none of them waits for those that follow."""
+        for base in rows:
+            began, at, error = time.perf_counter(), 0, None
+            try:
+                for x in fn(base if item is None else base[item]):
+                    now = time.perf_counter()
+                    yield row(base, x, None, at, now - began)
+                    began, at = time.perf_counter(), at + 1
+            except Exception as e:  # what came before stays
+                error = f"{type(e).__name__}: {e}"
+            yield row(base, None, error, at, time.perf_counter() - began)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
+            if kind == "generator" and concurrency == 1:
+                some = streamed(rows)
+                while out := list(islice(some, SENT)):
+                    yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+                continue
             found = _run(fn, kind, rows if item is None else [r[item] for r in rows], concurrency)
             out = []
             for base, (values, times, error) in zip(rows, found, strict=True):

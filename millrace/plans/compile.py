@@ -1,10 +1,12 @@
-"""Specs compiled to DataFrames: declarative plans that Catalyst optimises; nothing runs until an action."""
+"""Specs compiled to DataFrames: declarative plans that Catalyst optimises. Nothing runs until an action, but for pipelines with a limit of failures that
+several stages share: what reaches the second of them and each one after it is written to a table first."""
 
 from __future__ import annotations
 
 import queue
 import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 from functools import reduce
 
@@ -16,6 +18,7 @@ from millrace.operators import batch, core, failure, functions, merge, route
 from millrace.operators.position import with_pos
 from millrace.plans import spec
 from millrace.sources import iterables
+from millrace.tables import cut
 
 
 def _source(s: spec.Source | spec.MergeSource, on_fault: str = "raise") -> tuple[DataFrame, tuple[str, ...], str | None]:
@@ -49,6 +52,12 @@ class _Run:
         self.before: DataFrame | None = None  # counters after the stages so far, one row
 
     def share(self, df: DataFrame, calls: Column, failed: Column, order: tuple[str, ...]) -> DataFrame:
+        if self.before is not None:
+            # What is counted is read in several branches. Written once behind each counted stage, reads grow with the number of these, not as its power.
+            df = df.withColumns({"_counted_calls": calls, "_counted_failed": failed})
+            df, self.before = cut(df, "counted"), cut(self.before, "counters")
+            out, self.before = failure.shared(df, F.col("_counted_calls"), F.col("_counted_failed"), order, self.limit, before=self.before, on_breach=self.on_breach)
+            return out.drop("_counted_calls", "_counted_failed")
         out, self.before = failure.shared(df, calls, failed, order, self.limit, before=self.before, on_breach=self.on_breach)
         return out
 
@@ -201,6 +210,17 @@ def figures(p: spec.Pipeline) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+@contextmanager
+def _failures():
+    """A breach that an action raised is the pipeline's failure."""
+    try:
+        yield
+    except Exception as e:
+        if failure.BREACHED in str(e):
+            raise failure.PipelineFailure(str(e).split("\n")[0]) from e
+        raise
+
+
 def _faults(s: spec.Source | spec.MergeSource) -> Iterator[str]:
     if isinstance(s, spec.MergeSource):
         for p in s.pipelines:
@@ -215,17 +235,14 @@ def iterate(p: spec.Pipeline, epoch=None) -> Iterator[Row]:
     """The items in order, fetched a partition ahead; of a continuous pipeline, those of one epoch. Where a source fails, the items before the fault
     are delivered, and then the failure is raised."""
     _built(p)
-    df, order, column = _stages(p, "truncate")
+    with _failures():
+        df, order, column = _stages(p, "truncate")
     if (column is None) != (epoch is None):
         raise ValueError("a continuous pipeline is iterated by epoch, and only such a one")
     if epoch is not None:
         df = df.where(F.col(column) == epoch)
-    try:
+    with _failures():
         yield from df.orderBy(*order).toLocalIterator(prefetchPartitions=True)
-    except Exception as e:
-        if failure.BREACHED in str(e):
-            raise failure.PipelineFailure(str(e).split("\n")[0]) from e
-        raise
     for found in _faults(p.source):
         raise failure.PipelineFailure(f"the source failed: {found}")
 

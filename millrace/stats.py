@@ -16,12 +16,6 @@ QUEUE_STATS = (
     "p99_put_time double, p90_get_time double, p99_get_time double, occupancy_rate double"
 )
 EVENT_STATS = "id bigint, timestamp double, event_name string"
-FAILURE_ROW = "kind string, phase string, message string, retryable boolean, details map<string,string>, exception_type string, job_id string, created_at string"
-HYPOTHESIS = (
-    "node_id string, name string, parent_id string, commit string, spec map<string,string>, status string, job_id string, launched_at double, "
-    f"result map<string,string>, children array<string>, priority double, duration double, failure struct<{', '.join(':'.join(c.split()) for c in FAILURE_ROW.split(', '))}>"
-)
-ANALYSIS = f"structured map<string,string>, duration double, improved boolean, {HYPOTHESIS[HYPOTHESIS.index('failure'):]}"
 
 
 def query(df: DataFrame, *, name: str | None = None, start: float | None = None, end: float | None = None, name_column: str = "name", ascending: bool = False) -> DataFrame:

@@ -158,23 +158,15 @@ def test_random_shards_are_disjoint_and_cover():
             sample.random_indices(3, rank=0, world_size=1, weights=bad)
 
 
-def _cache_loop(n, caches, after, stop):
-    out, kept, i = [], [], 0
-    while len(out) < stop and i < n and i < after:
-        if len(kept) < caches:
-            kept.append(i)
-        out.append(i)
-        i += 1
-    while len(out) < stop:
-        for k in kept:
-            out.append(k)
-    return out[:stop]
-
-
-@given(n=st.integers(1, 12), caches=st.integers(1, 6), extra=st.integers(0, 6), stop=st.integers(6, 30))
-@settings(max_examples=200, deadline=None)
-def test_cache_indices_against_a_loop(n, caches, extra, stop):
-    assert sample.cached_indices(n, caches, return_caches_after=caches + extra, stop_after=stop) == _cache_loop(n, caches, caches + extra, stop)
+@pytest.mark.parametrize(
+    "n,caches,after,stop,want",
+    [
+        (5, 3, None, 9, "0 1 2 0 1 2 0 1 2"), (7, 3, 5, 11, "0 1 2 3 4 0 1 2 0 1 2"), (1, 1, None, 4, "0 0 0 0"), (2, 4, None, 6, "0 1 0 1 0 1"), (3, 2, 9, 8, "0 1 2 0 1 0 1 0"),
+        (12, 1, 1, 3, "0 0 0"), (9, 4, 6, 5, "0 1 2 3 4"), (4, 4, 4, 10, "0 1 2 3 0 1 2 3 0 1"), (6, 2, 6, 6, "0 1 2 3 4 5"), (6, 5, 5, 12, "0 1 2 3 4 0 1 2 3 4 0 1"),
+    ],
+)
+def test_cache_indices(n, caches, after, stop, want):
+    assert sample.cached_indices(n, caches, return_caches_after=after, stop_after=stop) == [int(x) for x in want.split()]
 
 
 def test_caches(numbers):
