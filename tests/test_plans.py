@@ -233,3 +233,24 @@ def test_function_stages_are_observed_on_request(spark, numbers):
         spark.conf.unset("millrace.stats")
     (seen,) = hooks.observations()
     assert df.count() == 3 and seen.get == {"num_tasks": 4, "num_failures": 1} and not hooks.observations()
+
+
+def test_reads_dont_multiply_with_counted_stages(spark, numbers):
+    def scans(k):
+        b = spec.Builder().add_source(numbers(range(30)), ["ord"])
+        for i in range(k):
+            b = b.call(lambda v: v, f"w{i} long", item="v", name=f"c{i}")
+        df = plans.compile_pipeline(b.build(max_failures=3))
+        assert df.count() == 30
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+    assert scans(4) <= scans(2) + 2  # what reaches the second stage and later ones is a table
+
+
+def test_a_generator_of_many_results(spark, numbers):
+    def many(v):
+        yield from range(5000)
+        raise ValueError("enough")
+
+    out = functions.mapped(numbers([1]), many, "x long", item="v", index="i")
+    assert out.where("x is not null").count() == 5000 and out.where("_error is not null").select("i").collect()[0].i == 5000
