@@ -281,3 +281,37 @@ def test_very_long_lines(spark):
     df = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
     assert got == {1: 0, 2: 1, 3: 0}
+
+
+@pytest.mark.parametrize("waves", [1, 3])
+def test_no_link_by_words_is_lost(spark, monkeypatch, waves):
+    """Lines of common words that differ as much as they may, in the worst places: each is found, also where words moved."""
+    monkeypatch.setattr(line_dedup, "FEW_BLOCKS", 0 if waves > 1 else 1 << 40)
+    monkeypatch.setattr(line_dedup, "WAVES", waves)
+    rng = random.Random(19)
+    usual = [f"u{i}" for i in range(150)]
+    pairs = []
+    for n in (5, 6, 9, 10, 11, 14, 15, 16, 19, 20, 24, 25, 29, 30, 45, 60, 100, 130, 200, 400):
+        edits = int(n * (1 - line_dedup.SIMILARITY) + 1e-9)
+        for kind in range(6):
+            w = [rng.choice(usual) for _ in range(n)]
+            other = list(w)
+            if kind < 3:  # evenly spread, so that runs in common are as short as can be
+                for k in range(edits):
+                    other[(k + 1) * n // (edits + 1) - (kind == 1)] = "the" if kind == 2 else f"{n}new{k}{kind}"
+            elif kind == 3:
+                for k in reversed(range(edits)):
+                    del other[(k + 1) * n // (edits + 1)]
+            elif kind == 4:  # all words of the start are others
+                other[:edits] = [f"{n}start{k}" for k in range(edits)]
+            else:
+                for k in range(edits // 2):
+                    other.insert(0, f"{n}in{k}")
+                    other.pop()
+            pairs.append((" ".join(w), " ".join(other)))
+    # Words put in at the start of a line of thousands of words move all that follow.
+    w = [rng.choice(usual) for _ in range(5_000)]
+    pairs.append((" ".join(w), " ".join([*(f"head{k}" for k in range(450)), *w[:4_550]])))
+    df = spark.createDataFrame(list(enumerate(s for p in pairs for s in p)), "doc_id long, text string").repartition(4)
+    got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
+    assert [got[i] for i in range(2 * len(pairs))] == [0, 1] * len(pairs)
