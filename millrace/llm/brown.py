@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.labelled import held_out
-from millrace.llm.store import cut
+from millrace.llm.store import cut, drop
 from millrace.llm.words import Words, byte_classes, find_words, mix, slices
 
 FOLDS = 10
@@ -37,6 +37,7 @@ CLASSES = 64
 PASSES = 8
 ROUNDS = 2
 ALPHA = 0.1
+AT_ONCE = 1 << 20  # words counted at once
 
 # Units: 0 is the end of a text, then come endings, then frequent words.
 
@@ -71,38 +72,58 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _count_bigrams(frequent: np.ndarray, n_units: int, of: np.ndarray | None = None):
-    """(pair, c) of units or, with the class of each unit, of classes."""
+def _number_words(frequent: np.ndarray):
+    """(line): the words of each text as 32-bit units, frequent ones with units of their own, and an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = byte_classes("nonspace")
-        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for _, column in slices(batches, "text"):
             words = find_words(column, classes)
-            line = np.zeros(len(words.hash) + words.rows + 1, np.int64)  # an end before the first text and after each
-            unit = _units(words, frequent)
-            line[np.arange(len(words.hash)) + words.row + 1] = unit if of is None else of[unit]
-            pair, n = np.unique(line[:-1] * n_units + line[1:], return_counts=True)
+            line = np.zeros(len(words.hash) + words.rows, np.int32)
+            line[np.arange(len(words.hash)) + words.row] = _units(words, frequent)
+            offsets = np.concatenate([[0], words.first[1:] + np.arange(1, words.rows + 1)]) * line.itemsize
+            buffers = [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(line.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), words.rows, buffers)], names=["line"])
+
+    return run
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(units, those behind them) of all lines, an end before the first one of a batch, some at a time."""
+    for batch in batches:
+        column = batch.column(0)
+        if not len(column):
+            continue
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        units = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int32)
+        line = np.concatenate([np.zeros(1, np.int32), units])
+        for at in range(0, len(line) - 1, AT_ONCE):
+            part = line[at : at + AT_ONCE + 1]
+            yield part[:-1], part[1:]
+
+
+def _count_bigrams(of: np.ndarray, n: int):
+    """(pair, c) of the n classes (or coarser units) `of` of all units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for before, after in _neighbours(batches):
+            pair, c = np.unique(of[before] * n + of[after], return_counts=True)
             both, back = np.unique(np.concatenate([total[0], pair]), return_inverse=True)
-            total = both, np.bincount(back, weights=np.concatenate([total[1], n]), minlength=len(both)).astype(np.int64)
+            total = both, np.bincount(back, weights=np.concatenate([total[1], c]), minlength=len(both)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], names=["pair", "c"])
 
     return run
 
 
-def _count_sides(frequent: np.ndarray, rest: np.ndarray, of: np.ndarray, classes: int):
-    """(word, place, c): how often a word of rest (sorted hashes) has class `place` before it or, from `classes` on, after it."""
+def _count_sides(moving: np.ndarray, of: np.ndarray, classes: int):
+    """(word, place, c): how often a word has class `place` before it or, from `classes` on, after it. moving: the word's number for each unit, or -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = byte_classes("nonspace")
-        for _, column in slices(batches, "text"):
-            words = find_words(column, kinds)
-            line = np.zeros(len(words.hash) + words.rows + 1, np.int64)
-            place = np.arange(len(words.hash)) + words.row + 1
-            line[place] = of[_units(words, frequent)]
-            at, own = _find(rest, words.hash)
-            at, place = at[own], place[own]
-            key = np.concatenate([at * 2 * classes + line[place - 1], (at * 2 + 1) * classes + line[place + 1]])
+        for before, after in _neighbours(batches):
+            word, other = moving[after], moving[before]
+            first, second = word >= 0, other >= 0
+            key = np.concatenate([word[first] * 2 * classes + of[before[first]], (other[second] * 2 + 1) * classes + of[after[second]]])
             key, n = np.unique(key, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key // (2 * classes)), pa.array((key % (2 * classes)).astype(np.int32)), pa.array(n)], names=["word", "place", "c"])
 
@@ -125,9 +146,8 @@ def _likeliest(weights: np.ndarray):
     return run
 
 
-def exchanged(docs: DataFrame, frequent: np.ndarray, of: np.ndarray, moving: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The class of each word of moving (sorted hashes, some of frequent) in which its bigrams with the classes `of` before and
-    after it are most likely.
+def exchanged(lines: DataFrame, of: np.ndarray, moving: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The class of each unit of moving in which its bigrams with the classes `of` before and after it are most likely.
 
     q: counts of the class bigram. One word's counts are at most 2 * classes rows, whatever its frequency.
     """
@@ -135,16 +155,18 @@ def exchanged(docs: DataFrame, frequent: np.ndarray, of: np.ndarray, moving: np.
     out = np.ones(len(moving), np.int64)
     smooth = q + 1 / classes
     weights = np.log(np.concatenate([smooth, smooth.T])) - np.log(np.concatenate([np.broadcast_to(smooth.sum(0), q.shape), np.broadcast_to(smooth.sum(1), q.shape)]))
-    sides = docs.mapInArrow(_count_sides(frequent, moving, of, classes), "word long, place int, c long").groupBy("word", "place").agg(F.sum("c").alias("c"))
+    number = np.full(len(of), -1)
+    number[moving] = np.arange(len(moving))
+    sides = lines.mapInArrow(_count_sides(number, of, classes), "word long, place int, c long").groupBy("word", "place").agg(F.sum("c").alias("c"))
     sides = sides.groupBy("word").agg(F.collect_list(F.struct("place", "c")).alias("sides"))
     best = sides.mapInArrow(_likeliest(weights), "word long, class int").toArrow()
     out[best["word"].to_numpy()] = best["class"].to_numpy()
     return out
 
 
-def _bigrams(docs: DataFrame, frequent: np.ndarray, n: int, of: np.ndarray | None = None) -> np.ndarray:
-    """The n x n counts of bigrams of units or, with `of`, of classes."""
-    pairs = docs.mapInArrow(_count_bigrams(frequent, n, of), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+def _bigrams(lines: DataFrame, of: np.ndarray, n: int) -> np.ndarray:
+    """The n x n counts of bigrams of the classes `of`."""
+    pairs = lines.mapInArrow(_count_bigrams(of, n), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(n * n)
     out[pairs["pair"].to_numpy()] = pairs["c"].to_numpy()
     return out.reshape(n, n)
@@ -257,20 +279,24 @@ def train(docs: DataFrame, *, most_units: int = UNITS, most_frequent: int = FREQ
     hashes, endings, c = hashes[ranked], endings[ranked], c[ranked]
     own = np.argsort(hashes[:most_units])
     units = hashes[:most_units][own]
-    bigrams = _bigrams(docs, units, n_units)
+    order = np.argsort(hashes)
+    frequent = hashes[order]
+    # Texts are split into words and these looked up once; all later counts are made from their numbers.
+    lines = cut(docs.mapInArrow(_number_words(frequent), "line binary"), "lm-lines")
+    at, own_unit = _find(units, frequent)
+    unit_of = np.concatenate([np.arange(1 + ENDINGS), np.where(own_unit, 1 + ENDINGS + at, 1 + endings[order])]).astype(np.int64)
+    bigrams = _bigrams(lines, unit_of, n_units)
     of = exchange(bigrams, classes)
     member = np.zeros((n_units, classes))
     member[np.arange(n_units), of] = 1
     # Words that aren't units are in the unit of their ending, so the class bigram follows without another pass.
     q = member.T @ bigrams @ member
-    order = np.argsort(hashes)
-    frequent = hashes[order]
-    at, own_unit = _find(units, frequent)
-    class_of = np.where(own_unit, of[1 + ENDINGS + at] if len(units) else 0, of[1 + endings[order]])
-    of = np.concatenate([of[: 1 + ENDINGS], class_of])
-    for _ in range(ROUNDS if len(frequent) > len(units) else 0):
-        of[1 + ENDINGS :][~own_unit] = exchanged(docs, frequent, of, frequent[~own_unit], q)
-        q = _bigrams(docs, frequent, classes, of)
+    of = of[unit_of]
+    moving = 1 + ENDINGS + np.flatnonzero(~own_unit)
+    for _ in range(ROUNDS if len(moving) else 0):
+        of[moving] = exchanged(lines, of, moving, q)
+        q = _bigrams(lines, of, classes)
+    drop(lines)
     # Words and tokens of each unit: of each ending, those that aren't frequent words.
     types, tokens = np.zeros(len(of)), np.zeros(len(of))
     types[1 + np.array(of_ending["ending"], np.int64)] = of_ending["v"]

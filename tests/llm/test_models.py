@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import brown, labelled, quality, queries, toxicity
 
@@ -369,3 +370,30 @@ def test_language_model_scores_against_a_plain_loop(spark, frequent):
     texts = dict(rows)
     for r in got:
         assert math.isclose(r.score, score(tokens(texts[r.doc_id])), rel_tol=1e-6), r.doc_id
+
+
+def test_texts_are_split_once_for_all_counts(spark, monkeypatch):
+    """Counts of bigrams, and of what stands beside each word, are made from the words' numbers, and are those of a plain loop."""
+    monkeypatch.setattr(brown, "AT_ONCE", 3)
+    texts = ["a b a", None, "", "b b c a", "c"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    found = brown.find_words(pa.array(["a", "b"]), brown.byte_classes("nonspace"))
+    frequent = np.sort(found.hash)
+    lines = docs.mapInArrow(brown._number_words(frequent), "line binary").cache()
+    unit = {w: 1 + brown.ENDINGS + int(np.searchsorted(frequent, h)) for w, h in zip("ab", found.hash.tolist(), strict=True)}
+    of = np.full(1 + brown.ENDINGS + 2, 3)
+    of[0], of[unit["a"]], of[unit["b"]] = 0, 1, 2
+    want = np.zeros((4, 4))
+    line = [0, *(k for t in texts for k in [*({"a": 1, "b": 2, "c": 3}[w] for w in (t or "").split()), 0])]
+    for x, y in zip(line[:-1], line[1:], strict=True):
+        want[x, y] += 1
+    assert brown._bigrams(lines, of, 4).tolist() == want.tolist()
+    number = np.full(len(of), -1)
+    number[unit["b"]] = 0
+    sides = lines.mapInArrow(brown._count_sides(number, of, 4), "word long, place int, c long").groupBy("word", "place").agg(F.sum("c").alias("c")).collect()
+    assert {(r.word, r.place): r.c for r in sides} == {(0, k + 4 * s): v for s, row in enumerate((want[:, 2], want[2])) for k, v in enumerate(row) if v}
+    # Only the counts of words, their numbers, and the scores read texts.
+    calls, split = [], brown._number_words
+    monkeypatch.setattr(brown, "_number_words", lambda frequent: calls.append(1) or split(frequent))
+    brown.train(docs.select(F.lit(1).cast("long").alias("doc_id"), "text"), most_units=1, classes=3)
+    assert len(calls) == 1
