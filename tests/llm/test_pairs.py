@@ -315,3 +315,29 @@ def test_no_link_by_words_is_lost(spark, monkeypatch, waves):
     df = spark.createDataFrame(list(enumerate(s for p in pairs for s in p)), "doc_id long, text string").repartition(4)
     got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
     assert [got[i] for i in range(2 * len(pairs))] == [0, 1] * len(pairs)
+
+
+def test_links_by_characters_of_lines_of_up_to_short_characters(spark):
+    """Lines with as many typos as they may have, spread over their words or in one place, are all found."""
+    rng = random.Random(29)
+    pairs = []
+    for size in (*range(12, line_dedup.SHORT + 1, 3), 40, 43, 47, line_dedup.SHORT):
+        for kind in range(4):
+            line = "".join(rng.choice("abcdefgh") if i % 7 else " " for i in range(1, size + 1)).strip() + "k"
+            edits = int(len(line) * (1 - line_dedup.CHARACTERS) + 1e-9)
+            other = list(line)
+            for k in range(edits):
+                at = (k + 1) * len(line) // (edits + 1)
+                at += line[at] == " "
+                if kind == 0:
+                    other[at] = "x"
+                elif kind == 1:
+                    other[at] = ""
+                elif kind == 2 and len(line) + edits <= line_dedup.SHORT:
+                    other[at] += "y"
+                elif kind == 3:
+                    other[k + (line[k] == " ")] = "z"
+            pairs.append((line, "".join(other)))
+    df = spark.createDataFrame(list(enumerate(s for p in pairs for s in p)), "doc_id long, text string").repartition(4)
+    got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
+    assert [got[i] for i in range(2 * len(pairs))] == [0, 1] * len(pairs)
