@@ -341,3 +341,30 @@ def test_links_by_characters_of_lines_of_up_to_short_characters(spark):
     df = spark.createDataFrame(list(enumerate(s for p in pairs for s in p)), "doc_id long, text string").repartition(4)
     got = dict(line_dedup.dedup_lines(df).select("row.doc_id", "n_removed").collect())
     assert [got[i] for i in range(2 * len(pairs))] == [0, 1] * len(pairs)
+
+
+def test_few_pairs_are_verified(spark, monkeypatch):
+    """Long lines of usual words that share runs by chance are told apart by their parities, near copies of one line meet in few pairs."""
+    seen = []
+    verified = line_dedup._verified
+
+    def counted(pairs, texts, similarity):
+        seen.append(pairs.count())
+        return verified(pairs, texts, similarity)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    rng = random.Random(31)
+    usual = [f"u{i}" for i in range(400)]
+    lines = [" ".join(rng.choice(usual) for _ in range(rng.randint(200, 220))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    assert line_dedup.removed_lines(df).count() == 0 and sum(seen) < len(lines)
+    seen.clear()
+    base = [f"w{i}" for i in range(40)]
+    lines = []
+    for k in range(200):
+        w = list(base)
+        for at in rng.sample(range(20), 5):  # of two lines about a third are linked
+            w[2 * at] = f"n{k}x{at}"
+        lines.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    assert line_dedup.removed_lines(df).count() == 199 and sum(seen) < 40 * len(lines)
