@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -368,3 +369,55 @@ def test_few_pairs_are_verified(spark, monkeypatch):
         lines.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
     assert line_dedup.removed_lines(df).count() == 199 and sum(seen) < 40 * len(lines)
+
+
+def test_common_passages_and_segments_make_few_pairs(spark, monkeypatch):
+    """Lines that hold the same passage, or the same piece of a short line, aren't compared pair by pair unless they may be linked."""
+    made = []
+    cut = line_dedup.cut
+
+    def counted(df, label):
+        out = cut(df, label)
+        if label in ("lines-candidates", "lines-pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    rng = random.Random(37)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    usual, passage = [word() for _ in range(3_000)], " ".join(word() for _ in range(12))
+    lines = []
+    for _ in range(150):
+        w = [rng.choice(usual) for _ in range(300)]
+        w.insert(rng.randrange(300), passage)
+        lines.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    assert line_dedup.removed_lines(df).count() == 0 and max(made) < 3 * len(lines)
+    made.clear()
+    short = [f"seenbefore {''.join(rng.choice('abcdefghij ') for _ in range(39))}z" for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string").repartition(4)
+    assert line_dedup.removed_lines(df).count() == 0 and max(made) < 3 * len(short)
+
+
+def test_blocks_of_the_same_lines_stay_once(spark):
+    """Of blocks of the same lines one for each least line stays; no two lines that met are parted."""
+    rng = random.Random(41)
+    rows = []
+    for bucket in range(400):
+        keys = rng.sample(range(12), rng.choice([2, 2, 3, 5]))
+        least = rng.choice(keys)
+        # A short line may show a segment twice.
+        rows += [(2 * bucket + bucket % 2, k, least) for k in keys + keys[:1] * (bucket % 7 == 0)]
+    met = spark.createDataFrame(rows, "bucket long, key long, least long")
+    out = line_dedup._once(met).collect()
+
+    def pairs(of):
+        blocks = {}
+        for r in of:
+            blocks.setdefault(r[0], set()).add(r[1])
+        return {(b % 2, x, y) for b, ks in blocks.items() for x in ks for y in ks if x < y}
+
+    assert pairs(out) == pairs(rows) == pairs([r for r in out if r.alone])
+    sets = lambda of: Counter(tuple(sorted(k for b, k, *_ in of if b == c)) + (c % 2,) for c in {r[0] for r in of})
+    assert set(sets(out)) == set(sets(rows)) and max(sets([r for r in out if r.alone]).values()) == 1
+    assert {(r.bucket % 2, r.key, r.least) for r in out if r.key != r.least} >= {(b % 2, k, m) for b, k, m in rows if k != m and len({x for c, x, _ in rows if c == b}) > 2}
