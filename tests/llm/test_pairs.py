@@ -421,3 +421,40 @@ def test_blocks_of_the_same_lines_stay_once(spark):
     sets = lambda of: Counter(tuple(sorted(k for b, k, *_ in of if b == c)) + (c % 2,) for c in {r[0] for r in of})
     assert set(sets(out)) == set(sets(rows)) and max(sets([r for r in out if r.alone]).values()) == 1
     assert {(r.bucket % 2, r.key, r.least) for r in out if r.key != r.least} >= {(b % 2, k, m) for b, k, m in rows if k != m and len({x for c, x, _ in rows if c == b}) > 2}
+
+
+def test_pairs_are_verified_once_over_all_waves(spark, monkeypatch):
+    """Unlinked lines that share several runs meet in several waves; they are compared once."""
+    monkeypatch.setattr(line_dedup, "FEW_BLOCKS", 0)
+    seen, verified = [], line_dedup._verified
+
+    def kept(pairs, *args):
+        seen.extend(map(tuple, pairs.collect()))
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(line_dedup, "_verified", kept)
+    rng = random.Random(43)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    lines = []
+    for _ in range(40):  # a fourth of the words differ: beyond the limit by words and by characters, but not by parities
+        w = [word() for _ in range(40)]
+        lines += [" ".join(w), " ".join(word() if i % 4 == 3 else x for i, x in enumerate(w))]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    assert line_dedup.removed_lines(df).count() == 0 and len(seen) == len(set(seen)) == 40
+
+
+def test_the_largest_block_stands_for_those_within(spark):
+    """Blocks of a passage's runs hold ever fewer of the same lines: their pairs are compared in one of them, and no pair in none."""
+    rng = random.Random(47)
+    rows = [(2 * b, k, 60 - 2 * b) for b in range(10) for k in range(60 - 2 * b)]  # each within the one before
+    for b in range(10, 200):
+        keys = rng.sample(range(60), rng.choice([3, 4, 7]))
+        rows += [(2 * b + b % 2, k, len(keys)) for k in keys]
+    out = line_dedup._with_largest(spark.createDataFrame(rows, "bucket long, key long, size long")).collect()
+    made = Counter()
+    for x in out:
+        for y in out:
+            if x.bucket == y.bucket and x.key < y.key and (x.largest != y.largest or x.largest == x.block):
+                made[x.bucket % 2, x.key, y.key] += 1
+    assert set(made) == {(b % 2, k, m) for b, k, _ in rows for c, m, _ in rows if b == c and k < m}
+    assert max(n for (odd, *_), n in made.items() if not odd) == 1
