@@ -9,9 +9,8 @@ from __future__ import annotations
 import asyncio
 import inspect
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from millrace.hooks import TaskHook, around, hooked
+from millrace.operators.pieces import pieces, sent
 
 
 def kind_of(fn) -> str:
@@ -37,8 +37,6 @@ def kind_of(fn) -> str:
     return "plain"
 
 
-SENT = 1024  # results of a generator that are sent on at once
-
 #: What an item came to: its results, the seconds up to each of them and to the end, and the error that ended it, if one did.
 Outcome = tuple[list, list[float], str | None]
 
@@ -86,13 +84,13 @@ async def _gathered(fn: Callable, items: list, concurrency: int, many: bool) ->
     return list(await asyncio.gather(*map(one, items)))
 
 
-def _run(fn, kind: str, items: list, concurrency: int) -> list[Outcome]:
+def _run(fn, kind: str, items: list, concurrency: int) -> Iterable[Outcome]:
     if kind.startswith("async"):
         return asyncio.run(_gathered(fn, items, concurrency, kind == "async generator"))
     call = {"plain": _one, "generator": _many, "lookup": _one}[kind]
     target = fn.__getitem__ if kind == "lookup" else fn
     if concurrency == 1:
-        return [call(target, x) for x in items]
+        return (call(target, x) for x in items)
     with ThreadPoolExecutor(concurrency) as pool:
         return list(pool.map(lambda x: call(target, x), items))
 
@@ -102,8 +100,9 @@ def mapped(df: DataFrame, fn, results: str, *, item: str | None = None, index: s
 
     fn gets the value of the column `item`, or the row as a dict, and gives a value (for one result column) or a dict. A generator
     gives any number of rows, told apart by `index`; its last invocation, which ends it, is a row without results. None
-    gives a row without results, which core.emit drops. Up to `concurrency` items of a batch are under way at once. hooks
-    run around invocations and tasks, see millrace.hooks.
+    gives a row without results, which core.emit drops. Up to `concurrency` items of a piece of a batch are under way at once. hooks
+    run around invocations and tasks, see millrace.hooks. Results are sent on before they are many or large, so that a task holds few of them;
+    where concurrency is more than 1 or fn is async, it holds those of a piece, of up to pieces.SENT items.
     """
     kind, kinds = kind_of(fn), StructType.fromDDL(results)
     fn, kind = hooked(fn, kind, hooks)
@@ -141,20 +140,16 @@ def mapped(df: DataFrame, fn, results: str, *, item: str | None = None, index: s
                 error = f"{type(e).__name__}: {e}"
             yield row(base, None, error, at, time.perf_counter() - began)
 
+    def gathered(rows: list[dict]) -> Iterator[dict]:
+        found = _run(fn, kind, rows if item is None else [r[item] for r in rows], concurrency)
+        for base, (values, times, error) in zip(rows, found, strict=True):
+            yield from (row(base, v, None, k, t) for k, (v, t) in enumerate(zip(values, times)))
+            if error is not None or many:
+                yield row(base, None, error, len(values), times[-1])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            if kind == "generator" and concurrency == 1:
-                some = streamed(rows)
-                while out := list(islice(some, SENT)):
-                    yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
-                continue
-            found = _run(fn, kind, rows if item is None else [r[item] for r in rows], concurrency)
-            out = []
-            for base, (values, times, error) in zip(rows, found, strict=True):
-                out += [row(base, v, None, k, t) for k, (v, t) in enumerate(zip(values, times))]
-                if error is not None or many:
-                    out.append(row(base, None, error, len(values), times[-1]))
-            yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+        some = streamed if kind == "generator" and concurrency == 1 else gathered
+        for rows in pieces(batches):
+            yield from sent(some(rows), arrow)
 
     return df.mapInArrow(run, schema)

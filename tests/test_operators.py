@@ -1,13 +1,15 @@
 """Operators on small literal inputs."""
 
 import random
+import resource
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from millrace.operators import batch, core, failure, merge, route, sample
+from millrace.operators import batch, core, failure, functions, merge, pieces, route, sample
 from millrace.operators.position import with_pos
 
 
@@ -249,3 +251,25 @@ def test_a_shuffle_at_the_end_of_a_pass(numbers):
     last = sample.shuffled_epochs(numbers(range(9)), ["ord"], 3, epoch=4, shuffle_last=True)
     of = lambda df, e: column(df.where(F.col("epoch") == e), "v", "draw_no")
     assert of(last, 4) == list(range(9)) and of(last, 5) == of(first, 4) and of(last, 6) == of(first, 5)
+
+
+def test_large_results_are_sent_on_before_the_others_are_made(spark):
+    """A task holds few of the results of a batch, which may be far larger than its items."""
+    def made(_):
+        with open("/proc/self/statm") as f:
+            return {"content": b"x" * (1 << 20), "pages": int(f.read().split()[1])}
+
+    rows = functions.mapped(spark.range(0, 400, 1, 1), made, "content binary, pages long", item="id")
+    least, most, total = rows.agg(F.min("pages"), F.max("pages"), F.sum(F.octet_length("content"))).first()
+    assert total == 400 << 20 and (most - least) * resource.getpagesize() < 150 << 20
+
+
+def test_pieces_and_sent_batches_are_bounded():
+    schema = pa.schema([("k", pa.int64()), ("v", pa.binary())])
+    rows = [{"k": k, "v": bytes(1 << 20 if k % 10 == 0 else 3)} for k in range(3000)] + [{"k": 3000, "v": None}]
+    batches = list(pieces.sent(iter(rows), schema))
+    assert [r for b in batches for r in b.to_pylist()] == rows
+    assert max(b.num_rows for b in batches) <= pieces.SENT and max(b.nbytes for b in batches) < 6 << 20
+    whole = pa.RecordBatch.from_pylist(rows, schema=schema)
+    parts = list(pieces.pieces([whole, whole.slice(0, 0), whole.slice(2999)]))
+    assert [r for p in parts for r in p] == [*rows, *rows[2999:]] and max(map(len, parts)) < 50
