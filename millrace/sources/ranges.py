@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.operators.pieces import sent
 from millrace.sources.formats import _BLOCK, _SAMPLES, _TENSOR, TENSOR, _pax_path, _tar_size, tensor
 
 RANGE = 64 << 20  # bytes of a file that one task reads in a row
@@ -308,7 +309,7 @@ def wav_chunks(paths: DataFrame, *, num_packets: int | None = None, duration: fl
     dealt = dealt.repartition(tasks, "path", "chunk").sortWithinPartitions("path", "chunk")
     schema = pa.schema([("path", pa.string()), ("chunk", pa.int64()), ("start", pa.int64()), ("tensor", _TENSOR), ("error", pa.string())])
 
-    def run(batches):
+    def rows(batches):
         path, f = None, None
         for batch in batches:
             for r in batch.to_pylist():
@@ -324,6 +325,9 @@ def wav_chunks(paths: DataFrame, *, num_packets: int | None = None, duration: fl
                         row |= {"start": start, "tensor": tensor(np.frombuffer(data, r["dtype"]).reshape(n, r["channels"]))}
                     except (ValueError, OSError) as e:
                         row["error"] = str(e)
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                yield row
+
+    def run(batches):
+        return sent(rows(batches), schema)
 
     return dealt.mapInArrow(run, f"path string, chunk long, start long, tensor {TENSOR}, error string")
