@@ -105,14 +105,20 @@ def _number(path: str) -> F.Column:
     return F.regexp_extract(path, r"(\d+)\.\w+$", 1).cast("long")
 
 
+AUDIO = 16 << 20  # bytes of audio that a task is to make, about
+
+
 def _audio(spark, d) -> DataFrame:
-    """(user_id, content): a user's events as WAV files."""
+    """(user_id, content): a user's events as WAV files. They are far larger than the events, so they are dealt to tasks by their own size: a task's
+    batches pass through several Python workers at once."""
     def audio(r):
         values = np.array([(7 * v + np.arange(300)) % 1000 for v in r["values"]], np.int16)
         return media.encode_wav(values.reshape(-1, 1), 8000)
 
     values = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.floor("value").alias("v")))), lambda x: x["v"])
-    return functions.mapped(table(spark, d, "events").groupBy("user_id").agg(values.alias("values")), audio, "content binary")
+    events = table(spark, d, "events").select("user_id", "event_id", "value")
+    tasks = -(-max(events.count(), 1) * 2 * 300 // AUDIO)
+    return functions.mapped(events.repartition(tasks, "user_id").groupBy("user_id").agg(values.alias("values")), audio, "content binary")
 
 
 @query(

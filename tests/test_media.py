@@ -1,3 +1,4 @@
+import os
 import time
 
 import numpy as np
@@ -72,3 +73,12 @@ def test_batches_of_images_stay_a_table(spark):
         (["0.pgm", "1.pgm"], [], [2, 2, 4, 3]), (["2.pgm"], ["3.pgm"], [1, 2, 4, 3]), (["4.pgm"], [], [1, 2, 4, 3]),
     ]
     assert set(np.frombuffer(rows[0].tensor.data, np.uint8).reshape(2, -1)[1].tolist()) == {10}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_audio_is_dealt_to_tasks_by_its_own_size(spark, monkeypatch):
+    from millrace import feature_queries
+
+    monkeypatch.setattr(feature_queries, "AUDIO", 1 << 19)
+    made = feature_queries._audio(spark, "/root/testdata/sf0.01")
+    assert made.rdd.getNumPartitions() == 12 and made.count() == 150  # 10,000 events of 600 bytes
