@@ -458,3 +458,35 @@ def test_the_largest_block_stands_for_those_within(spark):
                 made[x.bucket % 2, x.key, y.key] += 1
     assert set(made) == {(b % 2, k, m) for b, k, _ in rows for c, m, _ in rows if b == c and k < m}
     assert max(n for (odd, *_), n in made.items() if not odd) == 1
+
+
+def test_line_tables_are_dropped_before_the_largest_joins(spark, monkeypatch):
+    """A disk holds the sketches up to the join of blocks, and of the hashes of words only those that are still to be sketched."""
+    held, seen = {}, {}
+
+    def noting(make):
+        def made(df, label, *more):
+            seen[label] = sorted(held.values())
+            out = make(df, label, *more)
+            held.update((t._millrace_path, label) for t in (out if isinstance(out, list) else [out]))
+            return out
+
+        return made
+
+    def dropped(*tables):
+        for t in tables:
+            held.pop(t._millrace_path)
+        drop(*tables)
+
+    drop = line_dedup.drop
+    for name in ("cut", "cut_parts"):
+        monkeypatch.setattr(line_dedup, name, noting(getattr(line_dedup, name, None)), raising=False)
+    monkeypatch.setattr(line_dedup, "drop", dropped)
+    line = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(k, f"{line} {w}\nalone {w * 9}") for k, w in enumerate(["a", "b", "c", "a"])], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got == {0: f"{line} a\nalone aaaaaaaaa", 1: "alone bbbbbbbbb", 2: "alone ccccccccc"}
+    assert seen["lines-sketches"] == ["lines", "lines-hashed", "lines-sketches"]  # for the second half
+    assert not {"lines-hashed", "lines-sketches"} & set(seen["lines-stars"] + seen["lines-named"] + seen["lines-pairs"])
+    # Only what removed_lines and dedup_lines return is left.
+    assert sorted(set(held.values())) == ["lines", "lines-at", "lines-first", "lines-gone"]
